@@ -26,17 +26,25 @@ def norm(vec: Column | str) -> Column:
     return F.sqrt(F.aggregate(as_double(vec), F.lit(0.0), lambda acc, x: acc + x * x))
 
 
+def _each(vec: Column, scalar: Column, fn) -> Column:
+    """Combine every element with one scalar of the row; the scalar is worked out once, not per element."""
+    return F.zip_with(vec, F.array_repeat(scalar, F.size(vec)), fn)
+
+
 def unit(vec: Column | str, floor: float = 1e-12) -> Column:
     """L2-normalised vector; the norm never drops below ``floor``."""
     v = as_double(vec)
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(floor)))
+    return _each(v, F.greatest(norm(v), F.lit(floor)), lambda x, n: x / n)
+
+
+def centred(vec: Column | str) -> Column:
+    v = as_double(vec)
+    return _each(v, total(v) / F.size(v), lambda x, m: x - m)
 
 
 def centred_unit(vec: Column | str, floor: float = 1e-8) -> Column:
     """Centred, then L2-normalised, so that a dot product is a Pearson correlation."""
-    v = as_double(vec)
-    centred = F.transform(v, lambda x: x - total(v) / F.size(v))
-    return unit(centred, floor)
+    return unit(centred(vec), floor)
 
 
 def all_finite(vec: Column | str) -> Column:

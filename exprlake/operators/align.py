@@ -99,14 +99,14 @@ def coverage(panel: DataFrame, vocabulary: DataFrame, groups: Sequence[str], war
 def mask_features(vocabulary: DataFrame, seed: int, fraction: float = 0.15) -> DataFrame:
     """Vocabulary with a ``masked`` flag on a repeatable share of the features."""
     drawn = draw_position(vocabulary, [], ["feature"], seed, "_pos")
-    k = F.floor(F.col("_pos_n") * F.lit(fraction) + 0.5)
+    k = F.bround(F.col("_pos_n") * F.lit(fraction))
     return drawn.withColumn("masked", F.col("_pos") <= k).drop("_pos", "_pos_n")
 
 
 def mask_cells(df: DataFrame, groups: Sequence[str], seed: int, fraction: float = 0.15) -> DataFrame:
     """Cell-wise mask inside each panel: ``value`` becomes NULL, ``truth`` keeps the original."""
     drawn = draw_position(df, groups, ["sample_id", "feature"], seed, "_pos")
-    masked = F.col("_pos") <= F.floor(F.col("_pos_n") * F.lit(fraction) + 0.5)
+    masked = F.col("_pos") <= F.greatest(F.bround(F.col("_pos_n") * F.lit(fraction)), F.lit(1.0))
     return (
         drawn.withColumn("truth", F.col("value")).withColumn("masked", masked)
         .withColumn("value", F.when(~F.col("masked"), F.col("value"))).drop("_pos", "_pos_n")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from exprlake.functions.columns import finite
 from exprlake.operators.ordering import average_rank, exact_percentile, same_key
 
-SAMPLE = Window.partitionBy("sample_id")
+def _sample():
+    return Window.partitionBy("sample_id")
+
 
 
 def _clip0(col: Column | str) -> Column:
@@ -25,19 +27,19 @@ def log1p_tpm(df: DataFrame, lengths: DataFrame, on: Sequence[str] = ("feature",
     """Counts to log1p TPM with per-feature (and per-species) lengths in base pairs."""
     rate = _clip0("value") / F.greatest(F.col("length") / 1000.0, F.lit(1e-6))
     joined = df.join(lengths, list(on)).withColumn("_rate", rate)
-    total = F.greatest(F.sum("_rate").over(SAMPLE), F.lit(1e-12))
+    total = F.greatest(F.sum("_rate").over(_sample()), F.lit(1e-12))
     return joined.withColumn("value", F.log1p(F.col("_rate") / total * 1e6)).drop("_rate", "length")
 
 
 def log1p_cpm(df: DataFrame) -> DataFrame:
     """Counts to log1p of counts per million; totals below one count as one."""
-    total = F.greatest(F.sum(_clip0("value")).over(SAMPLE), F.lit(1.0))
+    total = F.greatest(F.sum(_clip0("value")).over(_sample()), F.lit(1.0))
     return df.withColumn("value", F.log1p(_clip0("value") * 1e6 / total))
 
 
 def fpkm_to_log1p_tpm(df: DataFrame) -> DataFrame:
     """FPKM to log1p TPM. Samples with a zero total give NULL; see :func:`zero_total_samples`."""
-    total = F.sum(_clip0("value")).over(SAMPLE)
+    total = F.sum(_clip0("value")).over(_sample())
     return df.withColumn("value", F.log1p(_clip0("value") / F.when(total > 0, total) * 1e6))
 
 
@@ -55,13 +57,13 @@ def expm1_clip(col: Column | str) -> Column:
 
 def centre_unit_rows(df: DataFrame, floor: float = 1e-8) -> DataFrame:
     """Centre and L2-normalise every sample, so that a dot product is a correlation."""
-    centred = df.withColumn("value", F.col("value") - F.avg("value").over(SAMPLE))
-    scale = F.greatest(F.sqrt(F.sum(F.col("value") * F.col("value")).over(SAMPLE)), F.lit(floor))
+    centred = df.withColumn("value", F.col("value") - F.avg("value").over(_sample()))
+    scale = F.greatest(F.sqrt(F.sum(F.col("value") * F.col("value")).over(_sample())), F.lit(floor))
     return centred.withColumn("value", F.col("value") / scale)
 
 
 def unit_rows(df: DataFrame, floor: float = 1e-12) -> DataFrame:
-    scale = F.greatest(F.sqrt(F.sum(F.col("value") * F.col("value")).over(SAMPLE)), F.lit(floor))
+    scale = F.greatest(F.sqrt(F.sum(F.col("value") * F.col("value")).over(_sample())), F.lit(floor))
     return df.withColumn("value", F.col("value") / scale)
 
 
@@ -90,7 +92,7 @@ def centre_within(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 def rank_within_sample(df: DataFrame) -> DataFrame:
     """Position of each feature inside its sample, scaled to [0, 1]; ties keep feature order."""
     w = Window.partitionBy("sample_id").orderBy("value", "feature")
-    n = F.count(F.lit(1)).over(SAMPLE)
+    n = F.count(F.lit(1)).over(_sample())
     return df.withColumn("value", (F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1)).cast("double"))
 
 

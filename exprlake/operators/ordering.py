@@ -156,8 +156,9 @@ def exact_percentile(
     value: str,
     points: dict[str, float],
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    interpolate: bool = True,
 ) -> DataFrame:
-    """Linear-interpolation percentiles per group, one output column per entry of ``points``."""
+    """Percentiles (linear interpolation, or the lower neighbour) per group, one output column per entry of ``points``."""
     table = cumulative(df, groups, value, rows_per_bucket=rows_per_bucket)
     picks = []
     for name, p in points.items():
@@ -170,7 +171,7 @@ def exact_percentile(
     for name, p in points.items():
         spot = F.lit(float(p)) * (F.col("_t") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        cols.append((lo + (spot - F.floor(spot)) * (hi - lo)).alias(name))
+        cols.append((lo + (spot - F.floor(spot)) * (hi - lo) if interpolate else lo).alias(name))
     return agg.select(*groups, *cols)
 
 

@@ -4,7 +4,7 @@ import importlib
 
 from exprlake.plans.registry import REGISTRY
 
-MODULES = ["sources"]
+MODULES = ["sources", "clean", "normalize", "align", "joins", "aggregate", "ranking"]
 for _name in MODULES:
     importlib.import_module(f"exprlake.plans.catalog_{_name}")
 
