@@ -28,47 +28,30 @@ def _grouped(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]
 
 
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi join that also pairs NULL keys, keeping the left key columns."""
-    renamed = right
-    cond: Column | None = None
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-        part = left[k].eqNullSafe(F.col(f"_r_{k}"))
-        cond = part if cond is None else cond & part
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+    """Equi join on the key columns. As in the reference's grouping, NULL keys form no group."""
+    return left.join(right, list(keys), how)
 
 
-def with_bucket(
-    df: DataFrame,
-    groups: Sequence[str],
-    numeric: str,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
-) -> DataFrame:
-    """Add ``_b``, an order-preserving bucket number of ``numeric`` within each group."""
-    stats = df.groupBy(*groups).agg(
-        F.min(numeric).cast("double").alias("_lo"),
-        F.max(numeric).cast("double").alias("_hi"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    stats = stats.withColumn(
-        "_nb", F.least(F.lit(max_buckets), F.ceil(F.col("_n") / F.lit(float(rows_per_bucket)))).cast("int")
-    )
+def _bucket(numeric: str, rows_per_bucket: int, max_buckets: int) -> Column:
+    """Bucket number from the group's ``_lo``, ``_hi`` and ``_rows``."""
+    wanted = F.least(F.lit(max_buckets), F.ceil(F.col("_rows") / F.lit(float(rows_per_bucket)))).cast("int")
     span = F.col("_hi") - F.col("_lo")
-    place = F.floor((F.col(numeric).cast("double") - F.col("_lo")) / span * F.col("_nb"))
-    bucket = F.when((F.col("_nb") > 1) & (span > 0), F.least(place, F.col("_nb") - 1)).otherwise(F.lit(0))
-    joined = same_key(df, stats, groups)
-    return joined.withColumn("_b", bucket.cast("int")).drop("_lo", "_hi", "_n", "_nb")
+    place = F.floor((F.col(numeric).cast("double") - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * wanted)
+    return F.when((wanted > 1) & (span > 0), F.least(place, wanted - 1)).otherwise(F.lit(0)).cast("int")
+
+
+def _spread(numeric: str) -> list[Column]:
+    return [
+        F.min(numeric).cast("double").alias("_lo"), F.max(numeric).cast("double").alias("_hi"),
+        F.count(F.lit(1)).alias("_rows"),
+    ]
 
 
-def _offsets(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Per (group, bucket): sum of everything in earlier buckets, and the group total."""
+def _earlier(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Per (group, bucket): the sum over all earlier buckets."""
     part = df.groupBy(*groups, "_b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    earlier = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    out = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}") for n in sums]
-    out += [F.sum(n).over(whole).alias(f"{n}_total") for n in sums]
-    return part.select(*groups, "_b", *out)
+    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    return part.select(*groups, "_b", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums])
 
 
 def cumulative(
@@ -89,18 +72,17 @@ def cumulative(
     weights = {"n": F.lit(1), **(weights or {})}
     base = df.filter(finite(F.col(value).cast("double")))
     flat = base.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
-    flat = with_bucket(flat, keys, value, rows_per_bucket)
-    offsets = _offsets(flat, keys, {n: F.col(n) for n in weights})
-    below = (
-        Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = flat.select(
-        "*", *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_before") for n in weights]
-    )
-    out = same_key(local, offsets, [*keys, "_b"])
-    for n in weights:
-        out = out.withColumn(f"{n}_before", F.col(f"{n}_before") + F.col(f"_off_{n}")).drop(f"_off_{n}")
-    drop = ([] if keep_bucket else ["_b"]) + ([] if groups else [_ONE])
+    # every use of ``flat`` reads all of its columns, so that Spark shuffles the input once and reuses it
+    stats = flat.groupBy(*keys).agg(*_spread(value), *[F.sum(n).alias(f"{n}_total") for n in weights])
+    totals = [f"{n}_total" for n in weights]
+    cut = same_key(flat, stats, keys).withColumn("_b", _bucket(value, rows_per_bucket, MAX_BUCKETS))
+    cut = cut.select(*keys, value, "_b", *weights, *totals)
+    earlier = _earlier(cut, keys, {n: F.col(n) for n in weights})
+    below = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.select("*", *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_before") for n in weights])
+    out = same_key(local, earlier, [*keys, "_b"])
+    out = out.withColumns({f"{n}_before": F.col(f"{n}_before") + F.col(f"_off_{n}") for n in weights})
+    drop = [f"_off_{n}" for n in weights] + ([] if keep_bucket else ["_b"]) + ([] if groups else [_ONE])
     return out.drop(*drop)
 
 
@@ -127,12 +109,13 @@ def position(
     Also adds ``<out>_n``, the size of the group.
     """
     df, keys = _grouped(df, groups)
-    cut = with_bucket(df, keys, numeric, rows_per_bucket)
-    offsets = _offsets(cut, keys, {"_m": F.lit(1)})
+    stats = df.groupBy(*keys).agg(*_spread(numeric))
+    cut = same_key(df, stats, keys).withColumn("_b", _bucket(numeric, rows_per_bucket, MAX_BUCKETS))
+    earlier = _earlier(cut, keys, {"_m": F.lit(1)})
     local = cut.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-    joined = same_key(local, offsets, [*keys, "_b"])
+    joined = same_key(local, earlier, [*keys, "_b"])
     result = joined.withColumn(out, (F.col(out) + F.col("_off__m")).cast("bigint"))
-    result = result.withColumnRenamed("_m_total", f"{out}_n").drop("_off__m", "_b")
+    result = result.withColumnRenamed("_rows", f"{out}_n").drop("_off__m", "_b", "_lo", "_hi")
     return result if groups else result.drop(_ONE)
 
 
