@@ -192,9 +192,10 @@ def score_correlations(df: DataFrame, benchmark: Sequence[str], model: str, scor
 
     Models are few, so they become columns and all pairs come from one aggregate.
     """
-    wide = df.groupBy(*benchmark).pivot(model, list(models)).agg(F.first(score))
+    tagged = df.withColumn("_m", F.concat(F.lit("model:"), F.col(model)))
+    wide = tagged.groupBy(*benchmark).pivot("_m", [f"model:{m}" for m in models]).agg(F.first(score))
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
-    cols = [nan_to_null(F.corr(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    cols = [nan_to_null(F.corr(F.col(f"`model:{a}`"), F.col(f"`model:{b}`"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     row = wide.agg(*cols)
     items = F.array(*[
         F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"c{i}").alias("correlation"))
