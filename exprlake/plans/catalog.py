@@ -4,7 +4,7 @@ import importlib
 
 from exprlake.plans.registry import REGISTRY
 
-MODULES = ["sources", "clean", "normalize", "align", "joins", "aggregate", "ranking", "metrics", "stats", "vectors", "models"]
+MODULES = ["sources", "clean", "normalize", "align", "joins", "aggregate", "ranking", "metrics", "stats", "vectors", "models", "atlas"]
 for _name in MODULES:
     importlib.import_module(f"exprlake.plans.catalog_{_name}")
 
