@@ -1,5 +1,6 @@
 from exprlake.functions.columns import (  # noqa: F401
     clean_name,
+    correlation,
     draw_key,
     draw_unit,
     finite,

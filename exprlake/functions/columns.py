@@ -43,6 +43,12 @@ def clean_name(col: Column | str) -> Column:
     return F.when(~name.isin("", "NAN"), name)
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation as an aggregate; NULL when a side does not vary (``corr`` fails there in ANSI mode)."""
+    a, b = _c(x), _c(y)
+    return F.covar_pop(a, b) / F.nullif(F.sqrt(F.var_pop(a) * F.var_pop(b)), F.lit(0.0))
+
+
 def strip_copy_suffix(col: Column | str) -> Column:
     """Key for id matching: drop a trailing ``-digits``, fold case, squash other marks to ``_``."""
     base = F.lower(F.regexp_replace(F.trim(_c(col)), r"-[0-9]+$", ""))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exprlake.functions.columns import finite, nan_to_null, safe_div
+from exprlake.functions.columns import correlation, finite, safe_div
 from exprlake.operators.ordering import cumulative, draw_position, same_key, top_k
 from exprlake.session import materialize
 
@@ -72,7 +72,7 @@ def curve_points(df: DataFrame, groups: Sequence[str], label: str = "label", sco
 def pearson(df: DataFrame, groups: Sequence[str], x: str, y: str, out: str = "pearson") -> DataFrame:
     """Pearson correlation over finite pairs; zero variance gives NULL."""
     ok = df.filter(finite(x) & finite(y))
-    return ok.groupBy(*groups).agg(nan_to_null(F.corr(x, y)).alias(out), F.count(F.lit(1)).alias("n"))
+    return ok.groupBy(*groups).agg(correlation(x, y).alias(out), F.count(F.lit(1)).alias("n"))
 
 
 def macro_pearson(df: DataFrame, by: Sequence[str], outer: Sequence[str], x: str, y: str) -> DataFrame:
@@ -88,7 +88,7 @@ def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
     tx = cumulative(ok, groups, x).select(*groups, x, (F.col("n_before") + (F.col("n") + 1) / half).alias("_rx"))
     ty = cumulative(ok, groups, y).select(*groups, y, (F.col("n_before") + (F.col("n") + 1) / half).alias("_ry"))
     ranked = same_key(same_key(ok, tx, [*groups, x]), ty, [*groups, y])
-    return ranked.groupBy(*groups).agg(nan_to_null(F.corr("_rx", "_ry")).alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy(*groups).agg(correlation("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
 def errors(df: DataFrame, groups: Sequence[str], truth: str, prediction: str) -> DataFrame:
@@ -187,6 +187,11 @@ def expressed_auc(df: DataFrame, by: Sequence[str], truth: str, prediction: str,
     return out.withColumn("prevalence", safe_div("positives", "n"))
 
 
+def _pair_correlation(a: str, b: str) -> Column:
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return correlation(F.when(both, F.col(a)), F.when(both, F.col(b)))
+
+
 def score_correlations(df: DataFrame, benchmark: Sequence[str], model: str, score: str, models: Sequence[str]) -> DataFrame:
     """Correlation of every two models' scores over the benchmarks both have.
 
@@ -195,7 +200,7 @@ def score_correlations(df: DataFrame, benchmark: Sequence[str], model: str, scor
     tagged = df.withColumn("_m", F.concat(F.lit("model:"), F.col(model)))
     wide = tagged.groupBy(*benchmark).pivot("_m", [f"model:{m}" for m in models]).agg(F.first(score))
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1:]]
-    cols = [nan_to_null(F.corr(F.col(f"`model:{a}`"), F.col(f"`model:{b}`"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    cols = [_pair_correlation(f"`model:{a}`", f"`model:{b}`").alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
     row = wide.agg(*cols)
     items = F.array(*[
         F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"c{i}").alias("correlation"))

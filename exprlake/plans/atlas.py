@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions.vectors import centred_unit
-from exprlake.operators.align import pack, vocabulary_names
-from exprlake.operators.clean import overlap_gate, reference_class, to_log_scale
+from exprlake.operators.align import MAX_VOCABULARY, pack
+from exprlake.operators.clean import reference_class
 from exprlake.operators.normalize import log1p_cpm
 from exprlake.operators.ordering import top_k
-from exprlake.operators.ranking import dense_ids, first_of_class, label_scores, quota_top_k, vote_call
+from exprlake.operators.ranking import first_of_class, label_scores, quota_top_k, vote_call
 from exprlake.operators.vectors import exact_knn
+from exprlake.session import materialize
 
 
 class AtlasSettings(NamedTuple):
@@ -38,26 +40,41 @@ def query_on_log_scale(query: DataFrame, threshold: float = 30.0) -> DataFrame:
     return log1p_cpm(clipped) if top is not None and top > threshold else clipped
 
 
+def shared_names(query: DataFrame, reference: DataFrame, settings: AtlasSettings) -> list[str]:
+    """Features both sides have, by name; an error when there are too few for the request's size.
+
+    A vocabulary has a bounded size, which is checked before it is read.
+    """
+    known = reference.select("feature").distinct().withColumn("known", F.lit(True))
+    rows = query.select("feature").distinct().join(known, "feature", "left").orderBy("feature").limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise OverlapError(f"more than {MAX_VOCABULARY} features in one request")
+    names = [r["feature"] for r in rows if r["known"]]
+    need = min(settings.minimum_shared, max(settings.sparse_minimum, math.ceil(0.4 * len(rows))))
+    if len(names) < need:
+        raise OverlapError(f"only {len(names)} features overlap the atlas; at least {need} are required")
+    return names
+
+
 def similarities(query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
     """Best references per sample and class, by correlation over the shared features.
 
     ``reference`` holds (reference_id, feature, value) on a log scale; ``metadata``
     (reference_id, species, tissue). Enough rows are kept for every later step:
     the best ``candidates`` of each class contain the best ``candidates`` overall.
+    Both sides are read by several passes, so each is written to the shared folder once.
     """
-    shared = query.select("feature").distinct().join(reference.select("feature").distinct(), "feature", "left_semi")
-    one = query.select("feature").withColumn("request", F.lit(1))
-    gate = overlap_gate(one, reference.select("feature"), ["request"], settings.minimum_shared, settings.sparse_minimum).first()
-    if gate is None or not gate["passed"]:
-        raise OverlapError(f"too few shared features: {gate and gate.asDict()}")
-    vocab = dense_ids(shared, "feature", "pos", start=0)
-    names = vocabulary_names(vocab)
+    query = materialize(query.select("sample_id", "feature", "value"), "request")
+    reference = materialize(reference.select("reference_id", "feature", "value"), "atlas")
+    names = shared_names(query, reference, settings)
     vocab = query.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, pos int")
+    shared = vocab.select("feature")
     ready = query_on_log_scale(query.join(shared, "feature", "left_semi"), settings.raw_threshold)
     q = pack(ready, vocab, 0.0, names).select(F.col("sample_id").alias("key"), centred_unit("values").alias("vec"))
     r = pack(reference.withColumnRenamed("reference_id", "sample_id"), vocab, 0.0, names)
     r = r.select(F.col("sample_id").alias("reference_id"), centred_unit("values").alias("vec")).join(metadata, "reference_id")
     r = r.select(F.col("reference_id").alias("key"), "vec", reference_class("tissue").alias("reference_type"))
+    q, r = materialize(q, "query-vectors"), materialize(r, "atlas-vectors")
     near = exact_knn(q, r, max(settings.candidates, settings.top_k), "dot", per="reference_type").drop("rank")
     near = near.withColumnsRenamed({"key": "sample_id", "neighbour": "reference_id"})
     return near.join(metadata, "reference_id")
@@ -80,7 +97,7 @@ def tissue_evidence(found: DataFrame, k: int = 5) -> DataFrame:
 
 def atlas_match(query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
     """One row per sample: best tissue, nearest tumour cohort, species call with its margin."""
-    near = similarities(query, reference, metadata, settings)
+    near = materialize(similarities(query, reference, metadata, settings), "near")
     found = matches(near, settings)
     best = first_of_class(found, "reference_type", "healthy_tissue").join(metadata.select("reference_id", "tissue"), "reference_id")
     best = best.select("sample_id", F.col("reference_id").alias("best_reference"), F.col("tissue").alias("best_tissue"), F.col("similarity").alias("best_similarity"))

@@ -67,7 +67,7 @@ def imputed(spark, d):
     return j.select("sample_id", "feature", "cohort", fixed("value", 9).alias("truth"), fixed((F.col("f") + F.col("s")) / 2, 9).alias("prediction"))
 
 
-@query("met03_macro_pearson", f"""WITH {IMPUTED}, f AS (SELECT cohort, feature, corr(truth, prediction) AS c FROM imputed GROUP BY 1, 2), s AS (SELECT cohort, sample_id, corr(truth, prediction) AS c FROM imputed GROUP BY 1, 2)
+@query("met03_macro_pearson", f"""WITH {IMPUTED}, f AS (SELECT cohort, feature, CASE WHEN var_pop(truth) > 0 AND var_pop(prediction) > 0 THEN corr(truth, prediction) END AS c FROM imputed GROUP BY 1, 2), s AS (SELECT cohort, sample_id, CASE WHEN var_pop(truth) > 0 AND var_pop(prediction) > 0 THEN corr(truth, prediction) END AS c FROM imputed GROUP BY 1, 2)
 SELECT cohort, 'feature' AS axis, {R('avg(c)')} AS macro_pearson, count(c) AS defined FROM f GROUP BY 1 UNION ALL SELECT cohort, 'sample', {R('avg(c)')}, count(c) FROM s GROUP BY 1""")
 def met03(spark, d):
     x = imputed(spark, d)
@@ -76,14 +76,14 @@ def met03(spark, d):
     return rounded(a.unionByName(b), "macro_pearson")
 
 
-@query("met04_global_pearson", f"""WITH {IMPUTED} SELECT cohort, {R('corr(truth, prediction)')} AS pearson, count(*) AS n FROM imputed GROUP BY 1""")
+@query("met04_global_pearson", f"""WITH {IMPUTED} SELECT cohort, {R('CASE WHEN var_pop(truth) > 0 AND var_pop(prediction) > 0 THEN corr(truth, prediction) END')} AS pearson, count(*) AS n FROM imputed GROUP BY 1""")
 def met04(spark, d):
     return rounded(mt.pearson(imputed(spark, d), ["cohort"], "truth", "prediction"), "pearson")
 
 
 @query("met05_spearman", f"""WITH {IMPUTED}, r AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY truth) + (count(*) OVER (PARTITION BY cohort, truth) - 1) / 2.0::DOUBLE AS a,
  rank() OVER (PARTITION BY cohort ORDER BY prediction) + (count(*) OVER (PARTITION BY cohort, prediction) - 1) / 2.0::DOUBLE AS b FROM imputed)
-SELECT cohort, {R('corr(a, b)')} AS spearman, count(*) AS n FROM r GROUP BY 1""")
+SELECT cohort, {R('CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END')} AS spearman, count(*) AS n FROM r GROUP BY 1""")
 def met05(spark, d):
     return rounded(mt.spearman(imputed(spark, d), ["cohort"], "truth", "prediction"), "spearman")
 
@@ -185,11 +185,11 @@ def met18(spark, d):
 
 
 @query("met18_imputation_summary", f"""WITH {IMPUTED}, x AS (SELECT cohort, feature, CAST(truth >= {LIMIT} AS INTEGER) AS y, prediction FROM imputed), {auc_cte('m', 'x', ['cohort', 'feature'], 'y', 'prediction')},
-f AS (SELECT cohort, feature, corr(truth, prediction) AS c FROM imputed GROUP BY 1, 2), s AS (SELECT cohort, sample_id, corr(truth, prediction) AS c FROM imputed GROUP BY 1, 2),
+f AS (SELECT cohort, feature, CASE WHEN var_pop(truth) > 0 AND var_pop(prediction) > 0 THEN corr(truth, prediction) END AS c FROM imputed GROUP BY 1, 2), s AS (SELECT cohort, sample_id, CASE WHEN var_pop(truth) > 0 AND var_pop(prediction) > 0 THEN corr(truth, prediction) END AS c FROM imputed GROUP BY 1, 2),
 r AS (SELECT cohort, rank() OVER (PARTITION BY cohort ORDER BY truth) + (count(*) OVER (PARTITION BY cohort, truth) - 1) / 2.0::DOUBLE AS a,
  rank() OVER (PARTITION BY cohort ORDER BY prediction) + (count(*) OVER (PARTITION BY cohort, prediction) - 1) / 2.0::DOUBLE AS b FROM imputed)
 SELECT i.cohort, {R('avg((prediction - truth) * (prediction - truth))')} AS mse, {R('avg(abs(prediction - truth))')} AS mae, {R('sqrt(avg((prediction - truth) * (prediction - truth)))')} AS rmse, count(*) AS n,
- {R('corr(truth, prediction)')} AS pcc_global, (SELECT {R('corr(a, b)')} FROM r WHERE r.cohort = i.cohort) AS spearman_global,
+ {R('CASE WHEN var_pop(truth) > 0 AND var_pop(prediction) > 0 THEN corr(truth, prediction) END')} AS pcc_global, (SELECT {R('CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN corr(a, b) END')} FROM r WHERE r.cohort = i.cohort) AS spearman_global,
  (SELECT {R('avg(c)')} FROM f WHERE f.cohort = i.cohort) AS pcc_feature_macro, (SELECT {R('avg(c)')} FROM s WHERE s.cohort = i.cohort) AS pcc_sample_macro,
  (SELECT {R('avg(auroc)')} FROM m WHERE m.cohort = i.cohort) AS auroc_macro, (SELECT {R('avg(auprc)')} FROM m WHERE m.cohort = i.cohort) AS auprc_macro, (SELECT count(auroc) FROM m WHERE m.cohort = i.cohort) AS auc_eligible
 FROM imputed i GROUP BY 1""")
@@ -198,7 +198,7 @@ def met18b(spark, d):
     return rounded(out, "mse", "mae", "rmse", "pcc_global", "spearman_global", "pcc_feature_macro", "pcc_sample_macro", "auroc_macro", "auprc_macro")
 
 
-@query("met20_score_correlations", f"""WITH {SCORES} SELECT a.model AS model_a, b.model AS model_b, {R('corr(a.auroc, b.auroc)')} AS correlation FROM scores a JOIN scores b ON a.scope = b.scope AND a.term = b.term AND a.model < b.model GROUP BY 1, 2""")
+@query("met20_score_correlations", f"""WITH {SCORES} SELECT a.model AS model_a, b.model AS model_b, {R('CASE WHEN var_pop(a.auroc) > 0 AND var_pop(b.auroc) > 0 THEN corr(a.auroc, b.auroc) END')} AS correlation FROM scores a JOIN scores b ON a.scope = b.scope AND a.term = b.term AND a.model < b.model GROUP BY 1, 2""")
 def met20(spark, d):
     s = scores(spark, d)
     models = [r[0] for r in s.select("model").distinct().orderBy("model").collect()]

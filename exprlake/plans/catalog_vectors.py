@@ -212,7 +212,7 @@ def vec18(spark, d):
 
 @query("vec19_model_similarity", f"""WITH {EDGES}, {TWO_MODELS}, c AS (SELECT a, b, x.model, list_dot_product(x.vec, y.vec) / (sqrt(list_dot_product(x.vec, x.vec)) * sqrt(list_dot_product(y.vec, y.vec))) AS s
  FROM edges JOIN two_models x ON a = x.key JOIN two_models y ON b = y.key AND x.model = y.model)
-SELECT 'A' AS model_a, 'B' AS model_b, {R('corr(p.s, q.s)')} AS correlation FROM c p JOIN c q ON p.a = q.a AND p.b = q.b AND p.model = 'A' AND q.model = 'B'""")
+SELECT 'A' AS model_a, 'B' AS model_b, {R('CASE WHEN var_pop(p.s) > 0 AND var_pop(q.s) > 0 THEN corr(p.s, q.s) END')} AS correlation FROM c p JOIN c q ON p.a = q.a AND p.b = q.b AND p.model = 'A' AND q.model = 'B'""")
 def vec19(spark, d):
     return rounded(ve.model_similarity(edges(spark, d).select("a", "b"), two_models(spark, d), ["A", "B"]), "correlation")
 
