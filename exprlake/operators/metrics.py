@@ -82,8 +82,11 @@ def macro_pearson(df: DataFrame, by: Sequence[str], outer: Sequence[str], x: str
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of tie-averaged ranks."""
-    ok = df.filter(finite(x) & finite(y))
+    """Pearson correlation of tie-averaged ranks.
+
+    Three passes read the pairs, so just these columns are written once.
+    """
+    ok = materialize(df.filter(finite(x) & finite(y)).select(*groups, x, y), "pairs")
     half = F.lit(2.0)
     tx = cumulative(ok, groups, x).select(*groups, x, (F.col("n_before") + (F.col("n") + 1) / half).alias("_rx"))
     ty = cumulative(ok, groups, y).select(*groups, y, (F.col("n_before") + (F.col("n") + 1) / half).alias("_ry"))

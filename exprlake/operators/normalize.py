@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprlake.functions.columns import finite
-from exprlake.operators.ordering import average_rank, exact_percentile, same_key
+from exprlake.operators.ordering import cumulative, exact_percentile, same_key
 
 def _sample():
     return Window.partitionBy("sample_id")
@@ -97,13 +97,19 @@ def rank_within_sample(df: DataFrame) -> DataFrame:
 
 
 def spearman_columns(df: DataFrame) -> DataFrame:
-    """Per feature: average rank over samples, centred and L2-normalised (dot = Spearman)."""
-    ranked = average_rank(df, ["feature"], "value", "_r")
-    stats = ranked.groupBy("feature").agg(F.avg("_r").alias("_m"), F.var_pop("_r").alias("_v"), F.count("_r").alias("_c"))
-    joined = same_key(ranked, stats, ["feature"])
-    scale = F.sqrt(F.col("_v") * F.col("_c"))
-    value = (F.col("_r") - F.col("_m")) / F.when(scale > 0, scale)
-    return joined.withColumn("value", F.coalesce(value, F.lit(0.0))).select(*df.columns)
+    """Per feature: average rank over samples, centred and L2-normalised (dot = Spearman).
+
+    Mean and spread of the ranks follow from the counts of distinct values, so
+    the rows are only read to look their value up.
+    """
+    table = cumulative(df, ["feature"], "value")
+    mean = (F.col("n_total") + 1) / F.lit(2.0)
+    ranked = table.select("feature", "value", "n", (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0) - mean).alias("_r"))
+    spread = ranked.groupBy("feature").agg(F.sqrt(F.sum(F.col("n") * F.col("_r") * F.col("_r"))).alias("_s"))
+    scaled = same_key(ranked, spread, ["feature"]).select(
+        "feature", "value", F.coalesce(F.col("_r") / F.nullif(F.col("_s"), F.lit(0.0)), F.lit(0.0)).alias("_z"))
+    out = same_key(df, scaled, ["feature", "value"]).withColumn("value", F.col("_z"))
+    return out.select(*df.columns)
 
 
 def fill_median(df: DataFrame, default: float | None = None) -> DataFrame:

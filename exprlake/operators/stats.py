@@ -48,8 +48,10 @@ def hedges_g(df: DataFrame, groups: Sequence[str], label: str, value: str) -> Da
 def random_effects(df: DataFrame, groups: Sequence[str], effect: str = "hedges_g", variance: str = "variance") -> DataFrame:
     """DerSimonian-Laird meta-analysis per group: estimate, interval, p, tau2, I2, concordant cohorts.
 
-    All sums are taken in two grouped passes, so effects are never listed.
+    All sums are taken in grouped passes, so effects are never listed. The effects
+    (one row per cohort) are written once, since three passes read them.
     """
+    df = materialize(df.select(*groups, effect, variance), "effects")
     w = 1.0 / F.col(variance)
     g = F.col(effect)
     first = df.groupBy(*groups).agg(
