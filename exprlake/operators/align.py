@@ -87,8 +87,7 @@ def coverage(panel: DataFrame, vocabulary: DataFrame, groups: Sequence[str], war
         F.count_distinct("feature").alias("unique_features"),
         F.count_distinct(F.when(F.col("_hit") == 1, F.col("feature"))).alias("shared"),
     )
-    size = vocabulary.agg(F.count_distinct("feature").alias("vocabulary")).withColumn("_one", F.lit(1))
-    out = out.withColumn("_one", F.lit(1)).join(size, "_one").drop("_one")
+    out = out.withColumn("vocabulary", vocabulary.agg(F.count_distinct("feature")).scalar())
     fraction = F.col("shared") / F.greatest(F.col("vocabulary"), F.lit(1)).cast("double")
     return (
         out.withColumn("missing", F.col("vocabulary") - F.col("shared"))

@@ -178,12 +178,12 @@ def fill_grid(df: DataFrame, keys: Sequence[str], expected: DataFrame, reason: s
 def eligible_terms(membership: DataFrame, universe: DataFrame, low: int, limit: int | None = None) -> DataFrame:
     """Terms with lo <= |members in universe| <= G - lo, largest first, then by name."""
     g = universe.select("feature").distinct()
-    total = g.agg(F.count(F.lit(1)).alias("_g")).withColumn("_one", F.lit(1))
+    total = g.agg(F.count(F.lit(1)).alias("_g")).scalar()
     sizes = (
         membership.select("term", "feature").distinct().join(g, "feature", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("size")).withColumn("_one", F.lit(1))
+        .groupBy("term").agg(F.count(F.lit(1)).alias("size"))
     )
-    kept = sizes.join(total, "_one").filter((F.col("size") >= low) & (F.col("size") <= F.col("_g") - low))
+    kept = sizes.filter((F.col("size") >= low) & (F.col("size") <= total - low))
     kept = kept.select("term", "size").orderBy(F.col("size").desc(), "term")
     return kept.limit(limit) if limit else kept
 

@@ -33,11 +33,26 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def _bucket(numeric: str, rows_per_bucket: int, max_buckets: int) -> Column:
-    """Bucket number from the group's ``_lo``, ``_hi`` and ``_rows``."""
+    """Bucket number from the group's ``_lo``, ``_hi`` and ``_rows``.
+
+    The place of a value is the mean of its linear position in the range and of
+    three logarithmic ones (from the bottom, from the top, away from zero). Each
+    never decreases with the value, so neither does the mean, and a heavy tail on
+    any side still spreads over many buckets.
+    """
     wanted = F.least(F.lit(max_buckets), F.ceil(F.col("_rows") / F.lit(float(rows_per_bucket)))).cast("int")
-    span = F.col("_hi") - F.col("_lo")
-    place = F.floor((F.col(numeric).cast("double") - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * wanted)
-    return F.when((wanted > 1) & (span > 0), F.least(place, wanted - 1)).otherwise(F.lit(0)).cast("int")
+    v, span = F.col(numeric).cast("double"), F.col("_hi") - F.col("_lo")
+    u = F.least(F.greatest((v - F.col("_lo")) / F.nullif(span, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    zoom = float(1 << 30)
+
+    def log_place(x: Column) -> Column:
+        return F.log1p(x * zoom) / F.log1p(F.lit(zoom))
+
+    far = F.greatest(F.abs(F.col("_lo")), F.abs(F.col("_hi")))
+    around_zero = (1.0 + F.signum(v) * log_place(F.abs(v) / F.nullif(far, F.lit(0.0)))) / 2.0
+    place = (u + log_place(u) + (1.0 - log_place(1.0 - u)) + around_zero) / 4.0
+    spread = F.floor(place * wanted)
+    return F.when((wanted > 1) & (span > 0) & (span < float("inf")), F.least(spread, wanted - 1)).otherwise(F.lit(0)).cast("int")
 
 
 def _spread(numeric: str) -> list[Column]:

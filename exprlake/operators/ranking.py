@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,14 @@ from exprlake.operators.ordering import average_rank, cumulative, first_row, pos
 
 
 def dense_ids(df: DataFrame, key: str, out: str = "token_id", start: int = 1) -> DataFrame:
-    """Consecutive ids in the byte order of a text key, for a vocabulary of any size."""
-    keyed = df.withColumn("_num", sort_prefix(key))
+    """Consecutive ids in the byte order of a text key, for a vocabulary of any size.
+
+    What all keys start with tells them apart nowhere, so buckets are cut by the
+    bytes that follow the common start.
+    """
+    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    common = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
+    keyed = df.withColumn("_num", sort_prefix(F.substring(key, common + 1, 6)))
     numbered = position(keyed, [], "_num", [F.col(key)], out)
     return numbered.withColumn(out, F.col(out) + F.lit(start - 1)).drop("_num", f"{out}_n")
 
@@ -87,11 +94,11 @@ def panel_scores(df: DataFrame, samples: DataFrame, excluded: DataFrame) -> Data
 
     Absent cells count as zeros, so the moments come from sums and the sample count.
     """
-    n = samples.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    n = samples.agg(F.count(F.lit(1)).alias("_n")).scalar()
     v = F.col("value")
     sums = df.join(samples.select("sample_id"), "sample_id", "left_semi").groupBy("feature").agg(
-        F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"), F.count_if(v > 0).alias("_d")).withColumn("_one", F.lit(1))
-    out = sums.join(n, "_one")
+        F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"), F.count_if(v > 0).alias("_d"))
+    out = sums.withColumn("_n", n)
     mean = F.col("_s") / F.col("_n")
     out = out.withColumn("variance", F.greatest(F.col("_ss") / F.col("_n") - mean * mean, F.lit(0.0)))
     out = out.withColumn("detection_rate", F.col("_d") / F.col("_n"))

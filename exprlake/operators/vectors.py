@@ -424,8 +424,8 @@ def annotate_top(top: DataFrame, annotations: DataFrame, limit: int = 25) -> Dat
 
 def orthologs_if_called(top: DataFrame, orthologs: DataFrame, calls: DataFrame, species: str = "mouse", limit: int = 50) -> DataFrame:
     """Ortholog rows of the top features, only when some sample was called as that species."""
-    called = calls.filter(F.lower("call") == species).select(F.lit(1).alias("_c")).limit(1)
-    out = top.withColumn("_c", F.lit(1)).join(called, "_c", "left_semi").drop("_c")
+    called = calls.filter(F.lower("call") == species).exists()
+    out = top.filter(called)
     return out.join(orthologs, F.col("feature") == F.col("src")).orderBy(F.col("mean_value").desc(), "src", "dst").limit(limit)
 
 

@@ -176,9 +176,9 @@ def ml08(spark, d):
     rows = mo.materialize(sp.stratified_kfold(rows, "cohort_id", "sample_id", 3, 4), "folds")
     preds = mo.out_of_fold(rows, mo.scaled_pca_logistic("features", "cohort_id", 20, rows=rows.count()), "cohort_id", 3, ["sample_id"])
     acc = multiclass_classification(preds.withColumn("one", F.lit(1)), ["one"], "cohort_id", "prediction")
-    eta = eta_squared(rows.select("cohort", F.posexplode("values").alias("feature", "value")), "cohort").withColumn("one", F.lit(1))
-    sil = ve.silhouette(rows.select(F.col("sample_id").alias("key"), F.col("values").alias("vec"), F.col("cohort").alias("label"))).withColumn("one", F.lit(1))
-    return acc.join(eta.select("one", "eta_squared"), "one").join(sil.select("one", "silhouette"), "one").drop("one")
+    eta = eta_squared(rows.select("cohort", F.posexplode("values").alias("feature", "value")), "cohort")
+    sil = ve.silhouette(rows.select(F.col("sample_id").alias("key"), F.col("values").alias("vec"), F.col("cohort").alias("label")))
+    return acc.drop("one").withColumns({"eta_squared": eta.select("eta_squared").scalar(), "silhouette": sil.select("silhouette").scalar()})
 
 
 @query("udf02_top_variance_selector", f"""WITH {VECTORS}, x AS (SELECT unnest(vec) AS v, unnest(range(0, 64)) AS i FROM vectors), s AS (SELECT i FROM x GROUP BY 1 ORDER BY var_pop(v) DESC, i LIMIT 16)

@@ -170,8 +170,9 @@ def srt03(spark, d):
 SELECT sample_id, name, (SELECT count(*) FROM h) AS total, (SELECT CAST(ceil(count(*) / 20.0::DOUBLE) AS BIGINT) FROM h) AS pages FROM h ORDER BY sample_id LIMIT 20 OFFSET 40""")
 def srt04(spark, d):
     hits = clean.search(sample_meta(spark, d), ["name", "cohort", "region"], "Asia").select("sample_id", "name")
-    total = rk.page_count(hits, 20).withColumn("_one", F.lit(1))
-    return rk.page(hits, [F.col("sample_id")], 3, 20).withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
+    total = rk.page_count(hits, 20)
+    return rk.page(hits, [F.col("sample_id")], 3, 20).withColumns({
+        "total": total.select("total").scalar(), "pages": total.select("pages").scalar()})
 
 
 # sets ---------------------------------------------------------------------------------------

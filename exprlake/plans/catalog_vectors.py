@@ -35,9 +35,8 @@ def jn13(spark, d):
 SELECT (SELECT count(*) FROM un) AS n, {R('avg(s)')} AS mean_similarity, {R('median(s)')} AS median_similarity FROM p""")
 def vec01(spark, d):
     v = vectors(spark, d)
-    mean = ve.pairwise_mean(v).withColumn("_one", F.lit(1))
-    med = ve.pairwise_median(v).withColumn("_one", F.lit(1))
-    return rounded(mean.join(med, "_one").drop("_one"), "mean_similarity", "median_similarity")
+    out = ve.pairwise_mean(v).withColumn("median_similarity", ve.pairwise_median(v).scalar())
+    return rounded(out, "mean_similarity", "median_similarity")
 
 
 @query("vec02_exact_knn", f"""WITH {UNIT}, p AS (SELECT a.key, b.key AS neighbour, b.label, list_dot_product(a.u, b.u) AS s FROM un a JOIN un b ON a.key <> b.key)
@@ -228,8 +227,8 @@ SELECT (SELECT {R('avg(CAST(la = lb AS INTEGER))')} FROM p WHERE k = 1 AND la <>
 FROM p WHERE la <> 'unknown' AND lb <> 'unknown'""")
 def met15(spark, d):
     g = vectors(spark, d).withColumn("label", F.when(F.col("label") == 3, "unknown").otherwise(F.col("label").cast("string")))
-    a = ve.neighbour_agreement(g).select("agreement", F.lit(1).alias("_one"))
-    return rounded(a.join(ve.group_similarity(g).withColumn("_one", F.lit(1)), "_one").drop("_one"), "agreement", "within", "between")
+    out = ve.group_similarity(g).withColumn("agreement", ve.neighbour_agreement(g).select("agreement").scalar())
+    return rounded(out, "agreement", "within", "between")
 
 
 @query("met16_silhouette", f"""WITH {VECTORS}, p AS (SELECT a.key, a.label AS la, b.label AS lb, sum(sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))) AS t, count(*) AS n FROM vectors a JOIN vectors b ON a.key <> b.key GROUP BY 1, 2, 3),

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from exprlake.functions.columns import finite
 
 
-def write_shards(df: DataFrame, path: str, by: Sequence[str], files_per_value: int = 1, spread: Sequence[str] = ()) -> None:
+def write_shards(df: DataFrame, path: str, by: Sequence[str], files_per_value: int | None = None, spread: Sequence[str] = ()) -> None:
     """zstd Parquet below one folder per value of ``by``.
 
-    A hot value is spread over ``files_per_value`` tasks by a hash of ``spread``,
-    so no single task has to write a large share of the rows.
+    Rows are rebalanced by ``by``: adaptive execution merges small values and
+    splits a hot one over several tasks. With ``files_per_value`` every value is
+    dealt over that many tasks by a hash of ``spread`` instead.
     """
-    if files_per_value > 1:
+    if files_per_value:
         salt = F.pmod(F.xxhash64(*[F.col(c) for c in (spread or df.columns)]), F.lit(files_per_value))
         df = df.withColumn("_s", salt).repartition(*by, "_s").drop("_s")
     else:
-        df = df.repartition(*by)
+        df = df.hint("rebalance", *by)
     df.write.mode("overwrite").partitionBy(*by).option("compression", "zstd").parquet(path)
 
 
