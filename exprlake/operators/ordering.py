@@ -18,15 +18,6 @@ from exprlake.functions.columns import draw_key, draw_unit, finite
 
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 8192
-_ONE = "_all"
-
-
-def _grouped(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if groups:
-        return df, list(groups)
-    return df.withColumn(_ONE, F.lit(1)), [_ONE]
-
-
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on the key columns. As in the reference's grouping, NULL keys form no group."""
     return left.join(right, list(keys), how)
@@ -62,6 +53,15 @@ def _spread(numeric: str) -> list[Column]:
     ]
 
 
+def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Put a group's statistics on its rows; without groups they are a scalar subquery, not a join."""
+    if keys:
+        return same_key(df, stats, keys)
+    names = stats.columns
+    row = stats.select(F.struct(*names).alias("s")).scalar()
+    return df.withColumn("_s", row).select("*", *[F.col(f"_s.{n}").alias(n) for n in names]).drop("_s")
+
+
 def _earlier(df: DataFrame, groups: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Per (group, bucket): the sum over all earlier buckets."""
     part = df.groupBy(*groups, "_b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
@@ -83,21 +83,21 @@ def cumulative(
     (sum over smaller values) and ``w_total`` (sum over the group). Rows with a
     missing or non-finite value are left out. ``n`` (row count) is always there.
     """
-    df, keys = _grouped(df, groups)
+    keys = list(groups)
     weights = {"n": F.lit(1), **(weights or {})}
     base = df.filter(finite(F.col(value).cast("double")))
     flat = base.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in weights.items()])
     # every use of ``flat`` reads all of its columns, so that Spark shuffles the input once and reuses it
     stats = flat.groupBy(*keys).agg(*_spread(value), *[F.sum(n).alias(f"{n}_total") for n in weights])
     totals = [f"{n}_total" for n in weights]
-    cut = same_key(flat, stats, keys).withColumn("_b", _bucket(value, rows_per_bucket, MAX_BUCKETS))
+    cut = _attach(flat, stats, keys).withColumn("_b", _bucket(value, rows_per_bucket, MAX_BUCKETS))
     cut = cut.select(*keys, value, "_b", *weights, *totals)
     earlier = _earlier(cut, keys, {n: F.col(n) for n in weights})
     below = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select("*", *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_before") for n in weights])
     out = same_key(local, earlier, [*keys, "_b"])
     out = out.withColumns({f"{n}_before": F.col(f"{n}_before") + F.col(f"_off_{n}") for n in weights})
-    drop = [f"_off_{n}" for n in weights] + ([] if keep_bucket else ["_b"]) + ([] if groups else [_ONE])
+    drop = [f"_off_{n}" for n in weights] + ([] if keep_bucket else ["_b"])
     return out.drop(*drop)
 
 
@@ -123,15 +123,14 @@ def position(
 
     Also adds ``<out>_n``, the size of the group.
     """
-    df, keys = _grouped(df, groups)
+    keys = list(groups)
     stats = df.groupBy(*keys).agg(*_spread(numeric))
-    cut = same_key(df, stats, keys).withColumn("_b", _bucket(numeric, rows_per_bucket, MAX_BUCKETS))
+    cut = _attach(df, stats, keys).withColumn("_b", _bucket(numeric, rows_per_bucket, MAX_BUCKETS))
     earlier = _earlier(cut, keys, {"_m": F.lit(1)})
     local = cut.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
     joined = same_key(local, earlier, [*keys, "_b"])
     result = joined.withColumn(out, (F.col(out) + F.col("_off__m")).cast("bigint"))
-    result = result.withColumnRenamed("_rows", f"{out}_n").drop("_off__m", "_b", "_lo", "_hi")
-    return result if groups else result.drop(_ONE)
+    return result.withColumnRenamed("_rows", f"{out}_n").drop("_off__m", "_b", "_lo", "_hi")
 
 
 def draw_position(
@@ -163,8 +162,7 @@ def exact_percentile(
         spot = F.lit(float(p)) * (F.col("n_total") - 1)
         for side, at in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
             picks.append(F.max(F.when(F.col("n_before") <= at, F.col(value).cast("double"))).alias(f"_{side}_{name}"))
-    table, keys = _grouped(table, groups)
-    agg = table.groupBy(*keys).agg(F.max("n_total").alias("_t"), *picks)
+    agg = table.groupBy(*groups).agg(F.max("n_total").alias("_t"), *picks)
     cols = []
     for name, p in points.items():
         spot = F.lit(float(p)) * (F.col("_t") - 1)

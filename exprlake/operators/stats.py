@@ -104,12 +104,11 @@ def benjamini_hochberg(df: DataFrame, groups: Sequence[str], p: str = "p_value",
     The tests themselves (one row each) are written once, since they are read twice.
     """
     df = materialize(df, "tests")
-    grouped = df if groups else df.withColumn("_g1", F.lit(1))
-    keys = list(groups) or ["_g1"]
-    t = cumulative(grouped, keys, p, keep_bucket=True)
+    keys = list(groups)
+    t = cumulative(df, keys, p, keep_bucket=True)
     t = t.withColumn("_c", F.col(p) * F.col("n_total") / (F.col("n_before") + F.col("n")))
     q = suffix_min(t, keys, p, "_c", out).select(*keys, p, F.least(F.col(out), F.lit(1.0)).alias(out))
-    return same_key(grouped, q, [*keys, p], "left").drop("_g1")
+    return same_key(df, q, [*keys, p], "left")
 
 
 def two_group_effects(df: DataFrame, groups: Sequence[str], arm: Column, value: str, minimum: int = 20) -> DataFrame:
