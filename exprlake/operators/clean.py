@@ -12,6 +12,12 @@ from exprlake.functions.vectors import all_finite
 from exprlake.operators.ordering import exact_percentile, same_key
 
 
+# fixed values: marks in the tissue text of a reference
+TUMOR_PREFIX = "TCGA-"
+UNLABELLED_MARK = "unlabelled"
+UNKNOWN_TISSUE = "unknown"
+
+
 def clean_features(df: DataFrame, feature: str = "feature") -> DataFrame:
     """Trim and upper-case feature names, dropping blanks and the text NAN."""
     return df.withColumn(feature, clean_name(feature)).filter(F.col(feature).isNotNull())
@@ -102,11 +108,11 @@ def search(df: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
 
 def reference_class(tissue: Column | str) -> Column:
     """tumor_cohort, unlabelled, unknown or healthy_tissue, from the text of the tissue."""
-    t = F.coalesce(F.col(tissue) if isinstance(tissue, str) else tissue, F.lit("unknown"))
+    t = F.coalesce(F.col(tissue) if isinstance(tissue, str) else tissue, F.lit(UNKNOWN_TISSUE))
     return (
-        F.when(F.upper(t).startswith("TCGA-"), "tumor_cohort")
-        .when(F.lower(t).contains("unlabelled"), "unlabelled")
-        .when(F.lower(t) == "unknown", "unknown")
+        F.when(F.upper(t).startswith(TUMOR_PREFIX), "tumor_cohort")
+        .when(F.lower(t).contains(UNLABELLED_MARK), "unlabelled")
+        .when(F.lower(t) == UNKNOWN_TISSUE, "unknown")
         .otherwise("healthy_tissue")
     )
 

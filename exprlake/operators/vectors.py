@@ -194,9 +194,13 @@ def pairwise_median(df: DataFrame, block_rows: int = BLOCK_ROWS, bins: int = 65_
 
 
 # labels in vector space ---------------------------------------------------------------------
+# fixed values: texts that stand for "no group"
+NO_GROUP = ("", "unlabeled", "unknown", "-")
+
+
 def named(label: str) -> Column:
     text = F.lower(F.trim(F.col(label).cast("string")))
-    return F.col(label).isNotNull() & ~text.isin("", "unlabeled", "unknown", "-")
+    return F.col(label).isNotNull() & ~text.isin(*NO_GROUP)
 
 
 def neighbour_agreement(df: DataFrame, label: str = "label") -> DataFrame:

@@ -76,3 +76,13 @@ def test_top_k_larger_than_group(spark):
     df = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 1.0)], "g string, id int, v double")
     got = o.top_k(df, ["g"], [F.col("v").desc(), F.col("id")], 5).collect()
     assert [(r["id"], r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
+
+
+def test_heavy_tails_spread_over_buckets(spark):
+    rng = np.random.default_rng(8)
+    for v in (rng.pareto(0.5, 4000), -rng.pareto(0.5, 4000), rng.standard_cauchy(4000), 1e6 + rng.random(4000)):
+        df = spark.createDataFrame(pd.DataFrame({"v": v}))
+        t = o.cumulative(df, [], "v", rows_per_bucket=40, keep_bucket=True)
+        per = t.groupBy("_b").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c"), F.count("c")).first()
+        assert per[0] < 1000 and per[1] > 20
+        assert t.filter("n_before + n > n_total").count() == 0
