@@ -149,16 +149,16 @@ def win19(spark, d):
 
 
 # sorts and pages ----------------------------------------------------------------------------
-@query("srt01_mixed_sort", f"""WITH {SCORES} SELECT scope, model, term, n_terms FROM scores ORDER BY scope, n_terms DESC, model, term LIMIT 40""")
+@query("srt01_mixed_sort", f"""WITH {SCORES} SELECT scope, model, term, n_terms FROM scores ORDER BY scope, n_terms DESC, model, term""")
 def srt01(spark, d):
-    return scores(spark, d).select("scope", "model", "term", "n_terms").orderBy("scope", F.col("n_terms").desc(), "model", "term").limit(40)
+    return scores(spark, d).select("scope", "model", "term", "n_terms").orderBy("scope", F.col("n_terms").desc(), "model", "term")
 
 
 @query("srt02_category_order", """SELECT o_orderkey, o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 ELSE 99 END AS sort_order
-FROM orders ORDER BY sort_order, o_orderkey LIMIT 3500""")
+FROM orders ORDER BY sort_order, o_orderkey""")
 def srt02(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return rk.category_order(o, "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"]).orderBy("sort_order", "o_orderkey").limit(3500)
+    return rk.category_order(o, "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"]).orderBy("sort_order", "o_orderkey")
 
 
 @query("srt03_top_n", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
