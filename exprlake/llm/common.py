@@ -10,7 +10,6 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from exprlake.session import materialize
 
@@ -72,6 +71,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
-def schema(**fields: str) -> StructType:
-    """Struct type from name=ddl pairs."""
-    return StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in fields.items()))
+def names(ddl: str) -> list[str]:
+    """Column names of a plain "name type, name type" schema."""
+    return [x.split()[0] for x in ddl.split(", ")]

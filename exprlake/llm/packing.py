@@ -23,11 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprlake.llm.common import kept, schema
+from exprlake.llm.common import names as column_names
+from exprlake.llm.common import kept
 
-PIECES = schema(
-    doc_id="bigint", start="bigint", length="bigint", ids_crc32="bigint", doc_tokens="bigint", sequence_id="bigint", offset="bigint",
-)
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -138,7 +137,7 @@ def pack(
     if not 0 < grain <= capacity:
         raise ValueError("grain must lie between 1 and capacity")
 
-    columns = PIECES.names
+    columns = column_names(PIECES)
     types = pa.schema([(x, pa.int64()) for x in columns])
     end = np.asarray([end_id], "<u4").tobytes()
 

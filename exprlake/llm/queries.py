@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from exprlake.llm.ann import nearest
+from exprlake.llm.common import remainder
+from exprlake.llm.langid import fit as fit_languages
+from exprlake.llm.langid import identify
 from exprlake.llm.packing import pack
 from exprlake.llm.sharding import interleave
 
@@ -34,3 +38,31 @@ def op7_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 shards that carry the mixture of sources; row counts at most one apart."""
     placed = interleave(table(spark, sf_dir, "documents"), 24)
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@register
+def op8_rotated_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every row whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 100 = 0"), 10)
+
+
+ORACLES["op8_rotated_one_bit_codes"] = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+
+@register
+def op10_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the documents outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
+    model = fit_languages(docs.filter(~F.col("held_out")))
+    return identify(docs, model).select("doc_id", "held_out", "guess.*")
