@@ -34,12 +34,16 @@ class _WordHashes(dict):
         return value
 
 
-def kept(name: str, make: Callable[[], Any]) -> Any:
-    """An object that lives as long as the Python worker, so that later tasks of the worker find it again."""
+def kept(name: str, make: Callable[[], Any], version: Any = None) -> Any:
+    """An object that lives as long as the Python worker, so that later tasks of the worker find it again.
+
+    A new ``version`` takes the place of the old one.
+    """
     store = sys.__dict__.setdefault("_exprlake_kept", {})
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if name not in store or store[name][0] != version:
+        store.pop(name, None)
+        store[name] = (version, make())
+    return store[name][1]
 
 
 def word_ids(text: str | None) -> np.ndarray:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +87,8 @@ class _Chunks(dict):
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in turn.
     """
 
-    LIMIT = 300_000
+    LIMIT = 1_000_000
+    PART = 20_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -96,13 +98,31 @@ class _Chunks(dict):
 
     def learn(self, chunks: set[bytes]) -> None:
         new = [x for x in chunks if x not in self]
-        if len(self) + len(new) > self.LIMIT:
+        if len(self) + 2 * len(new) > self.LIMIT:
             self.clear()
             new = list(chunks)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        parts = {x: plain(x) for x in new}
+        bare = list({y for x in parts.values() for y in x if y and y not in self})
+        for i in range(0, len(bare), self.PART):
+            part = bare[i : i + self.PART]
             found = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)
-            self.update((x, np.asarray(e.ids, "<u4").tobytes()) for x, e in zip(part, found, strict=True))
+            self.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, found, strict=True))
+        for x, (stem, mark) in parts.items():
+            if x not in self:
+                self[x] = self[stem] + (self[mark] if mark else b"")
+
+
+def plain(chunk: bytes) -> tuple[bytes, bytes]:
+    """A chunk as a lower-case stem and a final mark that is a token run of its own; the ids are those of both in turn.
+
+    The tokenizer lower-cases what it reads, but knows its special tokens, which hold "<|", by case.
+    """
+    if b"<|" in chunk:
+        return chunk, b""
+    chunk = chunk.lower()
+    if chunk[-1:] in b".,;:?!" and chunk[-2:-1].isalnum():
+        return chunk[:-1], chunk[-1:]
+    return chunk, b""
 
 
 def token_ids(texts: list[str | None], tokenizer: str) -> Iterator[bytes]:

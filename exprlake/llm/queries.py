@@ -11,8 +11,11 @@ from exprlake.llm.ann import nearest
 from exprlake.llm.common import remainder
 from exprlake.llm.langid import fit as fit_languages
 from exprlake.llm.langid import identify
+from exprlake.llm.mixing import mix
 from exprlake.llm.packing import pack
 from exprlake.llm.sharding import interleave
+from exprlake.llm.toxicity import fit as fit_toxicity
+from exprlake.llm.toxicity import score as toxicity_score
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of every document in a mixture of sources flattened as far as two passes allow."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@register
+def op5_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text, learned from the labels outside fold 2 of 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = remainder("doc_id", 4) == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~fold)
+    scored = toxicity_score(docs, model, out="score")
+    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @register
 def op6_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in windows of 2,048 ids."""
@@ -53,7 +72,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
