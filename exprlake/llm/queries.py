@@ -12,6 +12,7 @@ from exprlake.llm.common import remainder
 from exprlake.llm.langid import fit as fit_languages
 from exprlake.llm.langid import identify
 from exprlake.llm.mixing import mix
+from exprlake.llm.neardup import near_duplicates
 from exprlake.llm.packing import pack
 from exprlake.llm.sharding import interleave
 from exprlake.llm.toxicity import fit as fit_toxicity
@@ -36,6 +37,12 @@ def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@register
+def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register
 def op5_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text, learned from the labels outside fold 2 of 4."""
