@@ -14,6 +14,8 @@ from exprlake.llm.langid import identify
 from exprlake.llm.mixing import mix
 from exprlake.llm.neardup import near_duplicates
 from exprlake.llm.packing import pack
+from exprlake.llm.passages import repeated_passages
+from exprlake.llm.ppm import score as ppm_score
 from exprlake.llm.sharding import interleave
 from exprlake.llm.toxicity import fit as fit_toxicity
 from exprlake.llm.toxicity import score as toxicity_score
@@ -37,6 +39,14 @@ def op1_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@register
+def op2_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code length of every text, learned from the documents outside fold 1 of 5."""
+    fold = remainder("doc_id", 5) == 1
+    scored = ppm_score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~fold)
+    return scored.withColumn("held_out", fold)
+
+
 @register
 def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
@@ -92,3 +102,9 @@ def op10_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFram
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
     model = fit_languages(docs.filter(~F.col("held_out")))
     return identify(docs, model).select("doc_id", "held_out", "guess.*")
+
+
+@register
+def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that an earlier document already has."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
