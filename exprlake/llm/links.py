@@ -2,13 +2,13 @@
 
 Nothing here pairs all members of a bucket. Every member is first verified against the bucket's smallest
 member, which resolves nearly all buckets. Where members of a bucket are still in different components after
-that, only pairs across those components are looked at, in blocks of bounded size, so no link that the
-buckets can show is lost and no group is gathered in one task.
+that, only pairs across those components are looked at, each in the first bucket that holds both, in blocks of
+bounded size, so no link that the buckets can show is lost and no group is gathered in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -94,52 +94,110 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return dealt.mapInArrow(check, LINKS)
 
 
-def linked(keyed: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int, least_parts: int) -> DataFrame:
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of incidence blocks."""
+    sides = []
+    for sets in (left, right):
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((of, np.concatenate(sets) if sets else np.empty(0, np.uint64)))
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    out = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for of, items in sides:
+        at = np.searchsorted(both, items)
+        hit = (at < len(both)) & (both[np.minimum(at, len(both) - 1)] == items) if len(both) else np.zeros(len(items), bool)
+        placed.append((of[hit], at[hit]))
+    for i in range(0, len(both), columns):
+        blocks = []
+        for (of, at), n in zip(placed, (len(left), len(right)), strict=True):
+            here = (at >= i) & (at < i + columns)
+            block = np.zeros((n, min(columns, len(both) - i)), np.float32)
+            block[of[here], at[here] - i] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Numbers of the links that join what those before them have not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for n, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append(n)
+    return out
+
+
+def linked(
+    keyed: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int, first_shared: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
     """``node, component`` over the links between ids that share a bucket.
 
-    ``keyed``: ``key, id``; ``parts``: ``id, parts``, hashes of which linked ids share ``least_parts`` at least with
-    all but certainty; ``sets``: ``id, items`` for every id that shares a bucket.
+    ``keyed``: ``key, bucket, id``, where ``bucket`` numbers the tables; ``parts``: ``id, parts`` (array of long), from
+    which ``first_shared`` tells for rows and columns of ids the first table in which each two share a bucket (-1: none);
+    ``sets``: ``id, items`` for every id that shares a bucket.
     """
     buckets = stored(
-        keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).filter("pivot < last"), "buckets"
+        keyed.groupBy("key", "bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).filter("pivot < last"), "buckets"
     )
-    members = stored(keyed.join(buckets, "key").select("key", "id", "pivot", "n"), "members")
+    members = stored(keyed.join(buckets, ["key", "bucket"]).select("key", "bucket", "id", "pivot", "n"), "members")
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = stored(verified(stars, sets, per_cent), "links")
-    joined = stored(components(first), "components")
+    joined = stored(components(verified(stars, sets, per_cent)), "components")
 
     # buckets of three and more whose members are still in different components
     label = joined.withColumnRenamed("node", "id")
     placed = members.filter("n > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    ends = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    # buckets of the same members ask the same question once
-    open_ = placed.join(ends, "key").select("key", "id", "component", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    signs = open_.groupBy("key").agg(F.sum(F.xxhash64("id", "component").cast("decimal(38,0)")).alias("sign"))
-    asked = signs.groupBy("sign").agg(F.min("key").alias("key")).select("key")
-    open_ = stored(open_.join(asked, "key"), "open")
-    if open_.isEmpty():
+    ends = placed.groupBy("key", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "bucket")
+    opened = stored(placed.join(ends, ["key", "bucket"]).select("key", "bucket", "id", "component").join(parts, "id"), "open")
+    if opened.isEmpty():
         return joined
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        open_.withColumn("own", block)
-        .join(parts, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "parts")
-    )
 
-    def across(frame: pd.DataFrame) -> pd.DataFrame:
+    def pairs_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers of both sides, and which pairs this bucket is the first to hold and components keep apart."""
         x = np.array(frame["parts"].tolist(), np.int64)
-        ids, component, own = (frame[c].to_numpy() for c in ("id", "component", "own"))
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        alike = np.zeros((len(left), len(right)), np.int16)
-        for c in range(x.shape[1]):
-            alike += x[left, c][:, None] == x[right, c][None, :]
-        near = (alike >= least_parts) & (component[left][:, None] != component[right][None, :])
+        component, own = frame["component"].to_numpy(), frame["own"].to_numpy()
+        left, right = np.flatnonzero(own == frame["i"].iloc[0]), np.flatnonzero(own == frame["j"].iloc[0])
+        apart = component[left][:, None] != component[right][None, :]
+        return left, right, apart & (first_shared(x[left], x[right]) == frame["bucket"].iloc[0])
+
+    def asking(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right, wanted = pairs_of(frame)
+        rows = np.union1d(left[wanted.any(axis=1)], right[wanted.any(axis=0)])
+        return frame.iloc[rows][["key", "bucket", "id"]]
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right, wanted = pairs_of(frame)
+        items = [np.frombuffer(x, np.uint64) for x in frame["items"]]
+        ids = frame["id"].to_numpy()
+        size = np.array([len(x) for x in items])
+        shared = shared_counts([items[n] for n in left], [items[n] for n in right])
+        near = wanted & (shared > 0) & (100 * shared >= per_cent * (size[left][:, None] + size[right][None, :] - shared))
         a, b = np.nonzero(near)
-        lo, hi = np.minimum(ids[left[a]], ids[right[b]]), np.maximum(ids[left[a]], ids[right[b]])
-        return pd.DataFrame({"a": lo, "b": hi}).drop_duplicates()
-
-    rest = dealt.groupBy("key", "i", "j").applyInPandas(across, LINKS).distinct()
-    more = stored(verified(rest, sets, per_cent), "more-links")
+        a, b = ids[left[a]], ids[right[b]]
+        kept_ = forest(a, b)
+        return pd.DataFrame({"a": a[kept_], "b": b[kept_]})
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        """Every two blocks of a bucket's members, a block with itself included, under one ``key, bucket, i, j``."""
+        counts = rows.groupBy("key", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        return (
+            rows.join(counts, ["key", "bucket"])
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            .drop("blocks", "other")
+        )
+
+    asked = blocks(opened).groupBy("key", "bucket", "i", "j").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
+    rest = stored(asked.join(opened, ["key", "bucket", "id"]), "asking")
+    more = blocks(rest).join(sets, "id").groupBy("key", "bucket", "i", "j").applyInPandas(links, LINKS)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -26,8 +26,6 @@ WIDTH = 5
 SIDE = 8
 ROWS = 2
 PER_CENT = 75
-#: Of the 2 * SIDE sub-keys, those that similar documents share at least: fewer has probability 2e-5 at 0.75.
-LEAST_PARTS = 2
 _RNG = np.random.default_rng(20_04)
 _STEPS = _RNG.integers(0, 2**63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _TURNS = _RNG.integers(0, 2**63, 2 * SIDE * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,6 +91,34 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "t").mapInArrow(run, SETS)
 
 
+def table_keys(parts: DataFrame) -> DataFrame:
+    """``key, bucket, id`` for the tables in which a row may meet another.
+
+    A table's key is a pair of sub-keys, so a row meets nobody where one of them is its own alone; those sub-keys are
+    dropped before pairs are made.
+    """
+    single = parts.select("id", F.posexplode("parts").alias("c", "v"))
+    shared = single.groupBy("c", "v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("c", "v")
+    held = single.join(shared, ["c", "v"])
+    sides = held.groupBy("id").agg(
+        F.collect_list(F.when(F.col("c") < SIDE, F.struct("c", "v"))).alias("left"), F.collect_list(F.when(F.col("c") >= SIDE, F.struct("c", "v"))).alias("right")
+    )  # SIDE entries each at most
+    return sides.withColumn("l", F.explode("left")).withColumn("r", F.explode("right")).select(
+        F.xxhash64("l.c", "l.v", "r.c", "r.v").alias("key"), (F.col("l.c") * SIDE + F.col("r.c") - SIDE).alias("bucket"), "id"
+    )
+
+
+def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first table in which rows of ``x`` and rows of ``y`` have one key: their first equal sub-keys of both sides."""
+    out = []
+    for side in (range(SIDE), range(SIDE, 2 * SIDE)):
+        first = np.full((len(x), len(y)), -1, np.int16)
+        for c in reversed(side):
+            first[x[:, c][:, None] == y[:, c][None, :]] = c
+        out.append(first)
+    return np.where((out[0] >= 0) & (out[1] >= 0), out[0] * SIDE + out[1] - SIDE, -1)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = PER_CENT) -> DataFrame:
     """``key, n_shingles, component_id, kept`` per row.
 
@@ -111,16 +137,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         "representatives",
     )
     parts = of.filter("id = rep AND n_shingles > 0").select("id", "parts")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)))
-    keyed = parts.withColumn("g", grid).select(
-        F.xxhash64("g", F.get("parts", F.floor(F.col("g") / SIDE).cast("int")), F.get("parts", F.lit(SIDE) + F.col("g") % SIDE)).alias("key"), "id"
-    )
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    keyed = stored(keyed.join(shared, "key"), "shared-keys")
+    keyed = stored(table_keys(parts), "table-keys")
     asked = keyed.select("id").distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     sets = stored(shingle_sets(texts.join(asked, "id")).dropDuplicates(["id"]), "shingle-sets")
-    found = linked(keyed, parts, sets, per_cent, LEAST_PARTS)
+    found = linked(keyed, parts, sets, per_cent, first_shared)
     answer = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id")
     ).withColumn("kept", F.col(key) == F.col("component_id"))
