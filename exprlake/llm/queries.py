@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from exprlake.llm.ann import nearest
 from exprlake.llm.common import remainder
+from exprlake.llm.imatch import edited_fingerprints
 from exprlake.llm.langid import fit as fit_languages
 from exprlake.llm.langid import identify
 from exprlake.llm.mixing import mix
@@ -47,6 +48,12 @@ def op2_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", fold)
 
 
+@register
+def op3_randomised_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @register
 def op4_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
