@@ -90,7 +90,8 @@ def fit(
     best = Window.partitionBy("lang").orderBy("h")
     # ranked without the texts, so that the window sorts narrow rows; equal hashes are let in together
     last = rows.select("lang", "h").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
-    sample = stored(rows.join(last, "lang").filter(F.col("h") <= F.col("last")).select("lang", "t"), "langid-sample")
+    # a row per language, of which the model holds the centroids anyway; the texts stay where they are read
+    sample = stored(rows.join(F.broadcast(last), "lang").filter(F.col("h") <= F.col("last")).select("lang", "t"), "langid-sample")
 
     def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SLOTS, np.int64), 0
