@@ -28,14 +28,19 @@ def pack(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0, names:
 
     Only the measured cells are shuffled. The gaps between two measured
     positions are filled inside the row, in one pass over the sorted cells.
+    A feature that a sample measures more than once counts with its mean.
     """
     names = names if names is not None else vocabulary_names(vocabulary)
     width = len(names)
     gap = F.lit(fill).cast("double")
     known = df.join(vocabulary.select("feature", F.col("pos").cast("int").alias("pos")), "feature", "left")
-    cells = known.groupBy("sample_id").agg(
+    listed = known.groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("value").cast("double").alias("v"))))).alias("c")
     )
+    # sorted by position, so a repeated position follows itself; cells of one position are met in the row
+    at = F.array_distinct(F.transform("c", lambda x: x["pos"]))
+    repeated = F.transform(at, lambda p: F.struct(p.alias("pos"), _mean_at(F.col("c"), p).alias("v")))
+    cells = listed.withColumn("c", F.when(F.size(at) < F.size("c"), repeated).otherwise(F.col("c")))
     before = F.concat(F.array(F.lit(-1)), F.transform("c", lambda x: x["pos"]))
     filled = F.flatten(F.zip_with(
         "c", F.slice(before, 1, F.size("c")),
@@ -46,6 +51,12 @@ def pack(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0, names:
     return cells.select("sample_id", values.alias("values"))
 
 
+def _mean_at(cells: Column, pos: Column) -> Column:
+    """Mean of the measured values of one position; NULL where none is."""
+    own = F.filter(F.transform(F.filter(cells, lambda x: x["pos"] == pos), lambda x: x["v"]), lambda v: v.isNotNull())
+    return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, v: a + v) / F.size(own))
+
+
 def unpack(profile: DataFrame, names: Sequence[str]) -> DataFrame:
     """Packed profiles back to measurements."""
     lookup = F.split(F.lit(_SEP.join(names)), _SEP)

@@ -238,21 +238,17 @@ def term_probes(vectors: DataFrame, membership: DataFrame, terms: Sequence[str],
     return out.withColumnsRenamed({"task": "term", "c": "best_c", "inner_auroc": "cv_auroc"})
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight", max_classes: int = 10_000) -> DataFrame:
-    """Class weight n / (classes * class size) on every row.
+def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Class weight n / (classes * class size) on every row; rows without a label belong to no class and are left out.
 
-    Up to ``max_classes`` weights become a literal map, so the rows are not
-    shuffled by a label that may be one of two; beyond that they are joined.
+    The aggregated sizes are joined by the label. Spark broadcasts them where they are small, so the rows of a hot label
+    aren't shuffled.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    rows = sizes.limit(max_classes + 1).collect()
-    if len(rows) > max_classes:
-        n = sizes.agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("k")).first()
-        w = sizes.withColumn(out, F.lit(float(n["n"])) / (F.lit(float(n["k"])) * F.col("_c"))).drop("_c")
-        return df.join(w, label)
-    total, k = float(sum(r["_c"] for r in rows)), float(len(rows))
-    pairs = [F.lit(x) for r in rows for x in (r[label], total / (k * r["_c"]))]
-    return df.withColumn(out, F.try_element_at(F.create_map(*pairs), F.col(label)))
+    known = df.filter(F.col(label).isNotNull())
+    sizes = materialize(known.groupBy(label).agg(F.count(F.lit(1)).alias("_c")), "class-sizes")
+    whole = sizes.select(F.struct(F.sum("_c").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("k")).alias("s")).scalar()
+    weights = sizes.withColumn("_s", whole).select(label, (F.col("_s.n") / (F.col("_s.k") * F.col("_c"))).alias(out))
+    return known.join(weights, label)
 
 
 def out_of_fold(df: DataFrame, pipeline: Pipeline, label: str, folds: int, keep: Sequence[str], importances: bool = False):

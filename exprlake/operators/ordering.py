@@ -15,9 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprlake.functions.columns import draw_key, draw_unit, finite
+from exprlake.session import materialize
 
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 8192
+
+
 def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join on the key columns. As in the reference's grouping, NULL keys form no group."""
     return left.join(right, list(keys), how)
@@ -133,6 +136,32 @@ def position(
     return result.withColumnRenamed("_rows", f"{out}_n").drop("_off__m", "_b", "_lo", "_hi")
 
 
+def keyed_position(
+    df: DataFrame,
+    groups: Sequence[str],
+    key: str,
+    out: str = "position",
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    keep_bucket: bool = False,
+) -> DataFrame:
+    """1-based row number inside each group in the order of ``key``, which may be of any ordered type.
+
+    Buckets are ranges of the key over all groups, cut at quantiles that Spark samples, so neither a common start of
+    texts nor values packed into a narrow range fill one of them; a group's share of a bucket is no larger than the
+    bucket. The buckets are written once, so every later pass sees the same ones. Also adds ``<out>_n``.
+    """
+    keys = list(groups)
+    buckets = max(1, -(-df.count() // rows_per_bucket))
+    cut = materialize(df.repartitionByRange(buckets, key).withColumn("_b", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *keys, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"), F.sum("_m").over(Window.partitionBy(*keys)).alias(f"{out}_n"),
+    )
+    local = cut.withColumn(out, F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(key)))
+    return same_key(local, sizes, [*keys, "_b"]).withColumn(out, (F.col(out) + F.col("_off")).cast("bigint")).drop("_off", *([] if keep_bucket else ["_b"]))
+
+
 def draw_position(
     df: DataFrame,
     groups: Sequence[str],

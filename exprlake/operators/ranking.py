@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exprlake.functions.columns import sort_prefix
-from exprlake.operators.ordering import average_rank, cumulative, first_row, position, same_key, top_k
+from exprlake.operators.ordering import average_rank, cumulative, first_row, keyed_position, same_key, top_k
 
 
 def dense_ids(df: DataFrame, key: str, out: str = "token_id", start: int = 1) -> DataFrame:
-    """Consecutive ids in the byte order of a text key, for a vocabulary of any size.
-
-    What all keys start with tells them apart nowhere, so buckets are cut by the
-    bytes that follow the common start.
-    """
-    ends = df.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
-    common = len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""]))
-    keyed = df.withColumn("_num", sort_prefix(F.substring(key, common + 1, 6)))
-    numbered = position(keyed, [], "_num", [F.col(key)], out)
-    return numbered.withColumn(out, F.col(out) + F.lit(start - 1)).drop("_num", f"{out}_n")
+    """Consecutive ids in the order of a key, for a vocabulary of any size."""
+    return keyed_position(df, [], key, out).withColumn(out, F.col(out) + F.lit(start - 1)).drop(f"{out}_n")
 
 
 def rank_by(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
@@ -114,7 +104,7 @@ def evenly_spaced(df: DataFrame, group: str, key: str, m: int) -> DataFrame:
     Row i is taken when floor(j * (n-1)/(m-1)) = i for some j; that is decided
     from i alone, without listing the j.
     """
-    placed = position(df, [group], key, [F.col(key)], "_p")
+    placed = keyed_position(df, [group], key, "_p")
     i = F.col("_p") - 1
     n = F.col("_p_n")
     if m == 1:

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from exprlake.functions.columns import draw_key, finite, safe_div
 from exprlake.operators.metrics import auroc_auprc
-from exprlake.operators.ordering import cumulative, exact_percentile, position, same_key, suffix_min
+from exprlake.operators.ordering import cumulative, exact_percentile, keyed_position, same_key, suffix_min
 from exprlake.session import materialize
 
 
@@ -134,7 +134,7 @@ def bootstrap_counts(df: DataFrame, strata: Sequence[str], key: str, replicates:
     Draw j of a replicate picks place hash(seed, replicate, j) mod n inside the
     stratum, so the draws depend on no task order and can be repeated anywhere.
     """
-    placed = materialize(position(df.select(*strata, key), strata, key, [F.col(key)], "_p"), "places")
+    placed = materialize(keyed_position(df.select(*strata, key), strata, key, "_p"), "places")
     draws = placed.select(*strata, F.col("_p").alias("_j"), F.col("_p_n").alias("_n"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
     h = draw_key(seed, *[F.col(s) for s in strata], F.col("replicate"), F.col("_j"))
     pick = F.pmod(F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint"), F.col("_n")) + 1

@@ -20,7 +20,7 @@ from exprlake.functions.vectors import as_double, dot, norm, total, unit, vector
 from exprlake.operators.joins import pair_vectors, top_feature_overlap
 from exprlake.operators.metrics import auroc_auprc
 from exprlake.operators.normalize import spearman_columns
-from exprlake.operators.ordering import cumulative, draw_position, exact_percentile, position, same_key, top_k
+from exprlake.operators.ordering import cumulative, draw_position, exact_percentile, keyed_position, same_key, top_k
 from exprlake.session import materialize
 
 BLOCK_ROWS = 2048
@@ -345,12 +345,12 @@ def sample_pairs(membership: DataFrame, n_pairs: int, seed: int, attempts: int =
     """
     spark = membership.sparkSession
     member = materialize(membership.select("term", "key").distinct(), "membership")
-    placed = materialize(position(member, ["term"], "key", [F.col("key")], "p").filter("p_n >= 2"), "places")
+    placed = materialize(keyed_position(member, ["term"], "key", "p").filter("p_n >= 2"), "places")
     terms = placed.select("term", F.col("p_n").alias("size")).distinct()
     from exprlake.operators.ranking import dense_ids
 
     terms = materialize(dense_ids(terms, "term", "t"), "terms")
-    keys = materialize(position(placed.select("key").distinct(), [], "key", [F.col("key")], "p"), "keys")
+    keys = materialize(keyed_position(placed.select("key").distinct(), [], "key", "p"), "keys")
     n_terms, n_keys = terms.count(), keys.count()
     tries = spark.range(1, n_pairs * attempts + 1).withColumnRenamed("id", "i")
 
