@@ -123,10 +123,10 @@ def best_record(df: DataFrame, group: str, preferred: Column, quality: str, key:
     return first_row(df, [group], [preferred.desc_nulls_last(), F.col(quality).desc_nulls_last(), F.col(key)])
 
 
-def quota_top_k(matches: DataFrame, kind: str, quotas: Mapping[str, int], fallback: int) -> DataFrame:
+def quota_top_k(matches: DataFrame, kind: str, quotas: Mapping[str, int], fallback: int, fallback_kind: str | None = None) -> DataFrame:
     """Best matches per sample by class quota in the given class order, ranks renumbered.
 
-    Samples without any match of a listed class get their overall best ``fallback``.
+    Samples without any match of a listed class get their overall best ``fallback``, named ``fallback_kind`` if given.
     """
     order = [F.col("similarity").desc(), F.col("reference_id")]
     places = {k: i for i, k in enumerate(quotas)}
@@ -137,6 +137,8 @@ def quota_top_k(matches: DataFrame, kind: str, quotas: Mapping[str, int], fallba
     listed = listed.withColumn("_c", place).drop("_r")
     rest = matches.join(listed.select("sample_id").distinct(), "sample_id", "left_anti")
     rest = top_k(rest, ["sample_id"], order, fallback, "_r").drop("_r").withColumn("_c", F.lit(0))
+    if fallback_kind is not None:
+        rest = rest.withColumn(kind, F.lit(fallback_kind))
     w = Window.partitionBy("sample_id").orderBy("_c", *order)  # at most sum(quotas) rows per sample
     return listed.unionByName(rest).withColumn("rank", F.row_number().over(w).cast("bigint")).drop("_c")
 
@@ -152,7 +154,8 @@ def vote_call(matches: DataFrame, label: str, candidates: int = 50, margin: floa
     """Label call per sample from its best candidates.
 
     The best similarity per label goes through a softmax; the call is the first
-    label when it leads by ``margin``, else ``indeterminate``.
+    label when it leads by ``margin``, else ``indeterminate``. A sample whose candidates
+    have no named label is ``indeterminate`` with margin 1 and no weight.
     """
     from exprlake.operators.normalize import softmax
 
@@ -161,13 +164,14 @@ def vote_call(matches: DataFrame, label: str, candidates: int = 50, margin: floa
     best = named.groupBy("sample_id", label).agg(F.max("similarity").alias("_s"))
     voted = softmax(best, ["sample_id"], "_s", temperature)
     ranked = top_k(voted, ["sample_id"], [F.col("weight").desc(), F.col(label)], 2, "_r")
-    out = ranked.groupBy("sample_id").agg(
+    voted_for = ranked.groupBy("sample_id").agg(
         F.max(F.when(F.col("_r") == 1, F.col(label))).alias("_l"),
         F.max(F.when(F.col("_r") == 1, F.col("weight"))).alias("weight"),
         F.max(F.when(F.col("_r") == 2, F.col("weight"))).alias("_w2"),
     )
+    out = matches.select("sample_id").distinct().join(voted_for, "sample_id", "left")
     out = out.withColumn("margin", F.when(F.col("_w2").isNull(), 1.0).otherwise(F.col("weight") - F.col("_w2")))
-    call = F.when(F.col("margin") >= margin, F.col("_l")).otherwise("indeterminate")
+    call = F.when(F.col("_l").isNotNull() & (F.col("margin") >= margin), F.col("_l")).otherwise("indeterminate")
     return out.withColumn("call", call).drop("_l", "_w2")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.vectors import centred_unit
 from exprlake.operators.align import MAX_VOCABULARY, pack
+from exprlake.operators.clean import UNKNOWN_TISSUE as UNKNOWN
 from exprlake.operators.clean import reference_class
 from exprlake.operators.normalize import log1p_cpm
 from exprlake.operators.ordering import top_k
@@ -33,13 +34,29 @@ class OverlapError(ValueError):
     """Too few features shared with the atlas."""
 
 
-def query_on_log_scale(query: DataFrame, threshold: float = 30.0) -> DataFrame:
-    """Counts per million on a log scale when any value of the request exceeds the threshold."""
+INSUFFICIENT = "insufficient overlap"
+
+
+def query_on_log_scale(query: DataFrame, threshold: float = 30.0, per_sample: bool = False) -> DataFrame:
+    """Counts per million on a log scale when any value of the request, or of the sample, exceeds the threshold."""
     clipped = query.select("sample_id", "feature", F.greatest(F.col("value"), F.lit(0.0)).alias("value"))
+    if per_sample:
+        tops = clipped.groupBy("sample_id").agg((F.max("value") > threshold).alias("_raw"))
+        scaled = log1p_cpm(clipped).withColumnRenamed("value", "_log")
+        both = clipped.join(scaled, ["sample_id", "feature"]).join(tops, "sample_id")
+        return both.select("sample_id", "feature", F.when(F.col("_raw"), F.col("_log")).otherwise(F.col("value")).alias("value"))
     top = clipped.agg(F.max("value").alias("m")).first()["m"]
     return log1p_cpm(clipped) if top is not None and top > threshold else clipped
 
 
+def feature_names(reference: DataFrame) -> list[str]:
+    """All features of the atlas by name; a vocabulary has a bounded size, which is checked before it is read."""
+    rows = reference.select("feature").distinct().orderBy("feature").limit(MAX_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VOCABULARY:
+        raise OverlapError(f"more than {MAX_VOCABULARY} features in the atlas")
+    return [r["feature"] for r in rows]
+
+
 def shared_names(query: DataFrame, reference: DataFrame, settings: AtlasSettings) -> list[str]:
     """Features both sides have, by name; an error when there are too few for the request's size.
 
@@ -56,34 +73,59 @@ def shared_names(query: DataFrame, reference: DataFrame, settings: AtlasSettings
     return names
 
 
-def similarities(query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
+def overlapping(query: DataFrame, names: DataFrame, settings: AtlasSettings) -> DataFrame:
+    """``sample_id, enough``: whether a sample by itself shares enough features with a fixed vocabulary ``feature``."""
+    known = query.select("sample_id", "feature").distinct().join(names.withColumn("_k", F.lit(1)), "feature", "left")
+    counts = known.groupBy("sample_id").agg(F.count("_k").alias("_shared"), F.count("*").alias("_all"))
+    need = F.least(F.lit(settings.minimum_shared), F.greatest(F.lit(settings.sparse_minimum), F.ceil(0.4 * F.col("_all"))))
+    return counts.select("sample_id", (F.col("_shared") >= need).alias("enough"))
+
+
+def similarities(
+    query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings(), per_sample: bool = False,
+) -> DataFrame:
     """Best references per sample and class, by correlation over the shared features.
 
     ``reference`` holds (reference_id, feature, value) on a log scale; ``metadata``
-    (reference_id, species, tissue). Enough rows are kept for every later step:
-    the best ``candidates`` of each class contain the best ``candidates`` overall.
-    Both sides are read by several passes, so each is written to the shared folder once.
+    (reference_id, species, tissue), where a missing row or field reads as unknown. Enough rows
+    are kept for every later step: the best ``candidates`` of each class contain the best
+    ``candidates`` overall. Both sides are read by several passes, so each is written to the
+    shared folder once.
+
+    A request is judged as a whole: its scale, its features and whether they are enough. With
+    ``per_sample`` each sample is judged by itself over all features of the atlas, so its answer does
+    not depend on the samples beside it; samples with too little overlap have no rows.
     """
     query = materialize(query.select("sample_id", "feature", "value"), "request")
     reference = materialize(reference.select("reference_id", "feature", "value"), "atlas")
-    names = shared_names(query, reference, settings)
+    if per_sample:
+        names = feature_names(reference)
+    else:
+        names = shared_names(query, reference, settings)
     vocab = query.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, pos int")
     shared = vocab.select("feature")
-    ready = query_on_log_scale(query.join(shared, "feature", "left_semi"), settings.raw_threshold)
+    if per_sample:
+        enough = overlapping(query, shared, settings).filter("enough").select("sample_id")
+        query = query.join(enough, "sample_id", "left_semi")
+    ready = query_on_log_scale(query.join(shared, "feature", "left_semi"), settings.raw_threshold, per_sample)
     q = pack(ready, vocab, 0.0, names).select(F.col("sample_id").alias("key"), centred_unit("values").alias("vec"))
     r = pack(reference.withColumnRenamed("reference_id", "sample_id"), vocab, 0.0, names)
-    r = r.select(F.col("sample_id").alias("reference_id"), centred_unit("values").alias("vec")).join(metadata, "reference_id")
+    described = metadata.select("reference_id", *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("species", "tissue")])
+    r = r.select(F.col("sample_id").alias("reference_id"), centred_unit("values").alias("vec")).join(described, "reference_id", "left")
     r = r.select(F.col("reference_id").alias("key"), "vec", reference_class("tissue").alias("reference_type"))
     q, r = materialize(q, "query-vectors"), materialize(r, "atlas-vectors")
     near = exact_knn(q, r, max(settings.candidates, settings.top_k), "dot", per="reference_type").drop("rank")
     near = near.withColumnsRenamed({"key": "sample_id", "neighbour": "reference_id"})
-    return near.join(metadata, "reference_id")
+    return near.join(described, "reference_id", "left").fillna(UNKNOWN, ["species", "tissue"])
 
 
 def matches(near: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
-    """Healthy references first, then tumour cohorts, by quota; ranks renumbered."""
+    """Healthy references first, then tumour cohorts, by quota; ranks renumbered.
+
+    Where a sample has neither, its best references overall stand in and are named healthy.
+    """
     quotas = {"healthy_tissue": settings.top_k, "tumor_cohort": min(settings.tumor_k, settings.top_k)}
-    return quota_top_k(near, "reference_type", quotas, settings.top_k).withColumn("similarity", F.round("similarity", 6))
+    return quota_top_k(near, "reference_type", quotas, settings.top_k, "healthy_tissue").withColumn("similarity", F.round("similarity", 6))
 
 
 def nearest_unlabelled(near: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
@@ -95,13 +137,22 @@ def tissue_evidence(found: DataFrame, k: int = 5) -> DataFrame:
     return label_scores(found.filter("reference_type = 'healthy_tissue'"), "tissue", k)
 
 
-def atlas_match(query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
-    """One row per sample: best tissue, nearest tumour cohort, species call with its margin."""
-    near = materialize(similarities(query, reference, metadata, settings), "near")
+def atlas_match(
+    query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings(), per_sample: bool = False,
+) -> DataFrame:
+    """One row per sample: best tissue, nearest tumour cohort, species call with its margin.
+
+    With ``per_sample`` (see :func:`similarities`) samples of too little overlap are answered as such.
+    """
+    near = materialize(similarities(query, reference, metadata, settings, per_sample), "near")
     found = matches(near, settings)
-    best = first_of_class(found, "reference_type", "healthy_tissue").join(metadata.select("reference_id", "tissue"), "reference_id")
-    best = best.select("sample_id", F.col("reference_id").alias("best_reference"), F.col("tissue").alias("best_tissue"), F.col("similarity").alias("best_similarity"))
+    tissue = F.coalesce("tissue", F.lit(UNKNOWN)).alias("best_tissue")
+    best = first_of_class(found, "reference_type", "healthy_tissue").join(metadata.select("reference_id", "tissue"), "reference_id", "left")
+    best = best.select("sample_id", F.col("reference_id").alias("best_reference"), tissue, F.col("similarity").alias("best_similarity"))
     tumor = first_of_class(found, "reference_type", "tumor_cohort").select(
         "sample_id", F.col("reference_id").alias("nearest_tumor"), F.col("similarity").alias("tumor_similarity"))
-    call = vote_call(near, "species", settings.candidates, settings.margin)
-    return call.select("sample_id", "call", "margin").join(best, "sample_id", "left").join(tumor, "sample_id", "left")
+    call = vote_call(near, "species", settings.candidates, settings.margin).select("sample_id", "call", "margin")
+    if per_sample:
+        every = query.select("sample_id").distinct()
+        call = every.join(call, "sample_id", "left").withColumn("call", F.coalesce("call", F.lit(INSUFFICIENT)))
+    return call.join(best, "sample_id", "left").join(tumor, "sample_id", "left")

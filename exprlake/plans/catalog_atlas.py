@@ -19,14 +19,14 @@ SETTINGS = at.AtlasSettings(minimum_shared=20, sparse_minimum=5)
 
 
 def references(spark, d):
-    """One centroid per (nation, segment); some count as tumour cohorts, some are unlabelled."""
+    """One centroid per (nation, segment); some count as tumour cohorts, some are unlabelled or unknown."""
     meta = sample_meta(spark, d).withColumn("reference_id", F.concat_ws("/", "nation", "cohort"))
     m = measurement(spark, d)
     have = meta.join(m.select("sample_id").distinct(), "sample_id", "left_semi")
     ref = group_centroids(m, have.select("reference_id", "sample_id"), "reference_id")
     g = F.col("group_id")
     tissue = F.when(g < 5, F.concat(F.lit("TCGA-"), F.col("cohort"))).when(g < 8, F.concat(F.lit("unlabelled "), F.col("nation"))).otherwise(F.col("cohort"))
-    info = meta.select("reference_id", F.col("region").alias("species"), tissue.alias("tissue")).distinct()
+    info = meta.filter(g != 10).select("reference_id", F.col("region").alias("species"), tissue.alias("tissue")).distinct()
     return ref, info
 
 
@@ -38,7 +38,7 @@ def near(spark, d):
 NEAR = MEASUREMENT + ", " + SAMPLE_META + """,
 feats AS (SELECT DISTINCT feature FROM measurement),
 mem AS (SELECT sample_id, nation || '/' || cohort AS reference_id FROM sample_meta WHERE sample_id IN (SELECT sample_id FROM measurement)),
-info AS (SELECT DISTINCT nation || '/' || cohort AS reference_id, region AS species, CASE WHEN group_id < 5 THEN 'TCGA-' || cohort WHEN group_id < 8 THEN 'unlabelled ' || nation ELSE cohort END AS tissue FROM sample_meta),
+info AS (SELECT DISTINCT nation || '/' || cohort AS reference_id, region AS species, CASE WHEN group_id < 5 THEN 'TCGA-' || cohort WHEN group_id < 8 THEN 'unlabelled ' || nation ELSE cohort END AS tissue FROM sample_meta WHERE group_id <> 10),
 rsize AS (SELECT reference_id, count(*) AS k FROM mem GROUP BY 1),
 rraw AS (SELECT mem.reference_id AS id, feature, sum(value) / max(k) AS v FROM measurement JOIN mem ON measurement.sample_id = mem.sample_id JOIN rsize ON rsize.reference_id = mem.reference_id GROUP BY 1, 2),
 rlog AS (SELECT id, feature, ln(1 + v * 1e6 / greatest(sum(v) OVER (PARTITION BY id), 1.0)) AS v FROM rraw),
@@ -48,16 +48,16 @@ qg AS (SELECT i.id, f.feature, coalesce(v, 0) AS v FROM (SELECT DISTINCT id FROM
 rc AS (SELECT id, feature, v - avg(v) OVER (PARTITION BY id) AS v FROM rg), qc AS (SELECT id, feature, v - avg(v) OVER (PARTITION BY id) AS v FROM qg),
 rv AS (SELECT id, list(v ORDER BY feature) AS vec FROM rc GROUP BY 1), qv AS (SELECT id, list(v ORDER BY feature) AS vec FROM qc GROUP BY 1),
 ru AS (SELECT id, [x / greatest(sqrt(list_dot_product(vec, vec)), 1e-8) FOR x IN vec] AS u FROM rv), qu AS (SELECT id, [x / greatest(sqrt(list_dot_product(vec, vec)), 1e-8) FOR x IN vec] AS u FROM qv),
-near AS (SELECT qu.id AS sample_id, ru.id AS reference_id, species, tissue, CASE WHEN tissue LIKE 'TCGA-%' THEN 'tumor_cohort' WHEN tissue LIKE 'unlabelled%' THEN 'unlabelled' ELSE 'healthy_tissue' END AS reference_type,
-  list_dot_product(qu.u, ru.u) AS similarity FROM qu, ru JOIN info ON ru.id = info.reference_id),
+near AS (SELECT qu.id AS sample_id, ru.id AS reference_id, coalesce(species, 'unknown') AS species, coalesce(tissue, 'unknown') AS tissue, CASE WHEN tissue IS NULL THEN 'unknown' WHEN tissue LIKE 'TCGA-%' THEN 'tumor_cohort' WHEN tissue LIKE 'unlabelled%' THEN 'unlabelled' ELSE 'healthy_tissue' END AS reference_type,
+  list_dot_product(qu.u, ru.u) AS similarity FROM qu CROSS JOIN ru LEFT JOIN info ON ru.id = info.reference_id),
 classed AS (SELECT *, row_number() OVER (PARTITION BY sample_id, reference_type ORDER BY similarity DESC, reference_id) AS k FROM near),
 found AS (SELECT sample_id, reference_id, species, tissue, reference_type, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY sample_id ORDER BY CASE reference_type WHEN 'healthy_tissue' THEN 0 ELSE 1 END, similarity DESC, reference_id) AS rank
   FROM classed WHERE (reference_type = 'healthy_tissue' AND k <= 8) OR (reference_type = 'tumor_cohort' AND k <= 3)),
-best AS (SELECT sample_id, species, max(similarity) AS s FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY similarity DESC, reference_id) AS j FROM near) WHERE j <= 50 GROUP BY 1, 2),
+best AS (SELECT sample_id, species, max(similarity) AS s FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY similarity DESC, reference_id) AS j FROM near) WHERE j <= 50 AND species <> 'unknown' GROUP BY 1, 2),
 soft AS (SELECT sample_id, species, exp(greatest((s - max(s) OVER w) / 0.08::DOUBLE, -50)) AS e FROM best WINDOW w AS (PARTITION BY sample_id)),
 wt AS (SELECT sample_id, species, e / sum(e) OVER (PARTITION BY sample_id) AS weight FROM soft),
 wr AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY weight DESC, species) AS j FROM wt),
-votes AS (SELECT sample_id, max(species) FILTER (WHERE j = 1) AS top, max(weight) FILTER (WHERE j = 1) AS weight, coalesce(max(weight) FILTER (WHERE j = 1) - max(weight) FILTER (WHERE j = 2), 1) AS margin FROM wr GROUP BY 1)"""
+votes AS (SELECT sample_id, max(species) FILTER (WHERE j = 1) AS top, max(weight) FILTER (WHERE j = 1) AS weight, coalesce(max(weight) FILTER (WHERE j = 1) - max(weight) FILTER (WHERE j = 2), 1) AS margin FROM (SELECT DISTINCT sample_id FROM near) LEFT JOIN wr USING (sample_id) GROUP BY 1)"""
 
 
 @query("vec03_reference_matches", f"""WITH {NEAR} SELECT sample_id, reference_id, tissue, reference_type, {R('similarity', 5)} AS similarity FROM classed WHERE k <= 5""")
@@ -83,7 +83,7 @@ def win13(spark, d):
     return rounded(rk.first_of_class(at.matches(near(spark, d), SETTINGS), "reference_type", "tumor_cohort"), "similarity", digits=5)
 
 
-@query("win14_vote_call", f"""WITH {NEAR} SELECT sample_id, {R('weight', 5)} AS weight, {R('margin', 5)} AS margin, CASE WHEN margin >= 0.1 THEN top ELSE 'indeterminate' END AS call FROM votes""")
+@query("win14_vote_call", f"""WITH {NEAR} SELECT sample_id, {R('weight', 5)} AS weight, {R('margin', 5)} AS margin, CASE WHEN top IS NOT NULL AND margin >= 0.1 THEN top ELSE 'indeterminate' END AS call FROM votes""")
 def win14(spark, d):
     return rounded(rk.vote_call(near(spark, d), "species"), "weight", "margin", digits=5)
 
@@ -96,7 +96,7 @@ def win15(spark, d):
 
 MATCH = f"""WITH {NEAR}, b AS (SELECT sample_id, arg_min(reference_id, rank) AS best_reference, arg_min(tissue, rank) AS best_tissue, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'healthy_tissue' GROUP BY 1),
 t AS (SELECT sample_id, arg_min(reference_id, rank) AS nearest_tumor, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'tumor_cohort' GROUP BY 1)
-SELECT v.sample_id, CASE WHEN margin >= 0.1 THEN top ELSE 'indeterminate' END AS call, {R('margin', 5)} AS margin, best_reference, best_tissue, {R('b.s', 5)} AS best_similarity, nearest_tumor, {R('t.s', 5)} AS tumor_similarity
+SELECT v.sample_id, CASE WHEN top IS NOT NULL AND margin >= 0.1 THEN top ELSE 'indeterminate' END AS call, {R('margin', 5)} AS margin, best_reference, best_tissue, {R('b.s', 5)} AS best_similarity, nearest_tumor, {R('t.s', 5)} AS tumor_similarity
 FROM votes v LEFT JOIN b ON v.sample_id = b.sample_id LEFT JOIN t ON v.sample_id = t.sample_id"""
 
 
@@ -181,5 +181,5 @@ def str03(spark, d):
     ref, info = materialize(ref, "atlas"), materialize(info, "atlas-info")
     path = shards(spark, d)
     stream = inc.stream_shards(spark, path, spark.read.parquet(path).schema, 3)
-    out = inc.match_arrivals(stream, scratch_dir(spark, "matched"), scratch_dir(spark, "ckpt"), lambda b: at.atlas_match(b, ref, info, SETTINGS))
+    out = inc.match_arrivals(stream, scratch_dir(spark, "matched"), scratch_dir(spark, "ckpt"), lambda b: at.atlas_match(b, ref, info, SETTINGS, per_sample=True))
     return rounded(out, "margin", "best_similarity", "tumor_similarity", digits=5)

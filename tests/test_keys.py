@@ -60,3 +60,25 @@ def test_weights_leave_missing_labels_out(spark):
     got = sorted((r["label"], r["weight"]) for r in balanced_weights(df, "label").collect())
     assert got == [("a", pytest.approx(4 / 6))] * 3 + [("b", 2.0)]
     assert np.isclose(sum(w for _, w in got), 4)
+
+
+ATLAS = [("r1", "a", 1.0), ("r1", "b", 2.0), ("r1", "c", 4.0), ("r2", "a", 4.0), ("r2", "b", 1.0), ("r2", "c", 1.0)]
+QUERY = [("s1", "a", 1.0), ("s1", "b", 2.0), ("s1", "c", 3.0), ("s2", "a", 90.0), ("s2", "b", 5.0), ("s2", "c", 9.0), ("s3", "x", 1.0), ("s3", "y", 2.0)]
+
+
+def test_every_sample_and_reference_is_answered(spark):
+    from exprlake.plans.atlas import INSUFFICIENT, AtlasSettings, atlas_match
+
+    query = spark.createDataFrame(QUERY, "sample_id string, feature string, value double")
+    atlas = spark.createDataFrame(ATLAS, "reference_id string, feature string, value double")
+    settings = AtlasSettings(minimum_shared=2, sparse_minimum=1)
+    for info in ([], [("r2", None, None)]):
+        meta = spark.createDataFrame(info, "reference_id string, species string, tissue string")
+        got = {r["sample_id"]: r for r in atlas_match(query.filter("sample_id <> 's3'"), atlas, meta, settings).collect()}
+        assert {s: (r["call"], r["margin"], r["best_tissue"]) for s, r in got.items()} == {s: ("indeterminate", 1.0, "unknown") for s in ("s1", "s2")}
+        assert (got["s1"]["best_reference"], got["s2"]["best_reference"]) == ("r1", "r2")
+    together = {r["sample_id"]: r for r in atlas_match(query, atlas, meta, settings, per_sample=True).collect()}
+    assert together["s3"]["call"] == INSUFFICIENT and together["s3"]["best_reference"] is None
+    for sample in ("s1", "s2"):
+        alone = atlas_match(query.filter(F.col("sample_id") == sample), atlas, meta, settings, per_sample=True).collect()
+        assert alone == [together[sample]]
