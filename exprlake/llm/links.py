@@ -21,8 +21,9 @@ from exprlake.llm.common import stored
 LINKS = "a bigint, b bigint"
 #: Members that are verified in turn against one copy of a pivot's set.
 RUN = 512
-#: Members of a block of an unresolved bucket.
-BLOCK = 256
+#: Members of a block of an unresolved bucket: by their hashes alone, and with their sets.
+PARTS_BLOCK = 2048
+SETS_BLOCK = 512
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,9 +187,9 @@ def linked(
         kept_ = forest(a, b)
         return pd.DataFrame({"a": a[kept_], "b": b[kept_]})
 
-    def blocks(rows: DataFrame) -> DataFrame:
+    def blocks(rows: DataFrame, size: int) -> DataFrame:
         """Every two blocks of a bucket's members, a block with itself included, under one ``key, bucket, i, j``."""
-        counts = rows.groupBy("key", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        counts = rows.groupBy("key", "bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
         return (
             rows.join(counts, ["key", "bucket"])
             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -197,7 +198,7 @@ def linked(
             .drop("blocks", "other")
         )
 
-    asked = blocks(opened).groupBy("key", "bucket", "i", "j").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
+    asked = blocks(opened, PARTS_BLOCK).groupBy("key", "bucket", "i", "j").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
     rest = stored(asked.join(opened, ["key", "bucket", "id"]), "asking")
-    more = blocks(rest).join(sets, "id").groupBy("key", "bucket", "i", "j").applyInPandas(links, LINKS)
+    more = blocks(rest, SETS_BLOCK).join(sets, "id").groupBy("key", "bucket", "i", "j").applyInPandas(links, LINKS)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
