@@ -24,6 +24,7 @@ from exprlake.operators.ordering import cumulative, draw_position, exact_percent
 from exprlake.session import materialize
 
 BLOCK_ROWS = 2048
+BLOCK_BYTES = 16 << 20
 MAX_TASKS = 8192
 
 
@@ -45,14 +46,18 @@ def pack_blocks(df: DataFrame, side: str, n_blocks: int, extra: Sequence[str] =
 
 
 def block_count(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
+    """Blocks of at most ``block_rows`` vectors and about ``BLOCK_BYTES`` bytes each; vectors of a table have one width."""
+    first = df.select(F.size("vec").alias("w")).first()
+    width = max(1, first["w"]) if first else 1
+    return max(1, math.ceil(df.count() / max(1, min(block_rows, BLOCK_BYTES // (8 * width)))))
 
 
 def block_pairs(q: DataFrame, r: DataFrame, nq: int, nr: int, triangle: bool = False) -> DataFrame:
-    """Every query block next to every reference block, spread over the tasks."""
-    first = F.col("qb") if triangle else F.lit(0)
-    wide = q.withColumn("rb", F.explode(F.sequence(first, F.lit(nr - 1))))
-    return wide.join(r, "rb").repartition(min(nq * nr, MAX_TASKS), "qb", "rb")
+    """Every query block next to every reference block: both sides are dealt to the pairs in one shuffle."""
+    n = min(nq * nr, MAX_TASKS)
+    wide = q.withColumn("rb", F.explode(F.sequence(F.col("qb") if triangle else F.lit(0), F.lit(nr - 1)))).repartition(n, "qb", "rb")
+    tall = r.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("rb") if triangle else F.lit(nq - 1)))).repartition(n, "qb", "rb")
+    return wide.join(tall, ["qb", "rb"])
 
 
 def over_blocks(pairs: DataFrame, fn: Callable[[pd.Series], pd.DataFrame], schema: str) -> DataFrame:
@@ -337,9 +342,10 @@ def pair_separation(scored: DataFrame, groups: Sequence[str]) -> DataFrame:
     return same_key(auc, means, groups)
 
 
-def sample_pairs(membership: DataFrame, n_pairs: int, seed: int, attempts: int = 20) -> DataFrame:
+def sample_pairs(membership: DataFrame, n_pairs: int, seed: int, attempts: int = 200) -> DataFrame:
     """Positive pairs share a term, negative pairs share none: (a, b, label), equally many of each.
 
+    At most ``attempts`` draws per wanted pair are made; both kinds are cut to the rarer one.
     Every attempt draws a term and two places in it (or two annotated keys) by
     hash and looks them up by equi joins, so no set is ever paired with itself.
     """

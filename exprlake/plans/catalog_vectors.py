@@ -95,7 +95,7 @@ def hpick(what, n, i="i"):
 
 @query("vec08_sample_pairs", f"""WITH {VECTORS}, {VECTOR_TERMS}, pl AS (SELECT term, key, row_number() OVER (PARTITION BY term ORDER BY key) AS p, count(*) OVER (PARTITION BY term) AS size FROM vector_terms),
 tt AS (SELECT term, size, row_number() OVER (ORDER BY term) AS t FROM (SELECT DISTINCT term, size FROM pl WHERE size >= 2)), kk AS (SELECT key, row_number() OVER (ORDER BY key) AS p FROM (SELECT DISTINCT key FROM pl)),
-tr AS (SELECT unnest(range(1, 200 * 20 + 1)) AS i), d AS (SELECT i, term, {hpick('x', 'size')} AS pa, {hpick('y', 'size')} AS pb FROM tr JOIN tt ON tt.t = {hpick('t', '(SELECT count(*) FROM tt)')}),
+tr AS (SELECT unnest(range(1, 200 * 200 + 1)) AS i), d AS (SELECT i, term, {hpick('x', 'size')} AS pa, {hpick('y', 'size')} AS pb FROM tr JOIN tt ON tt.t = {hpick('t', '(SELECT count(*) FROM tt)')}),
 po AS (SELECT d.i, a.key AS x, b.key AS y FROM d JOIN pl a ON a.term = d.term AND a.p = d.pa JOIN pl b ON b.term = d.term AND b.p = d.pb WHERE pa <> pb),
 f AS (SELECT i, {hpick('u', '(SELECT count(*) FROM kk)')} AS pa, {hpick('v', '(SELECT count(*) FROM kk)')} AS pb FROM tr),
 ne AS (SELECT f.i, a.key AS x, b.key AS y FROM f JOIN kk a ON a.p = pa JOIN kk b ON b.p = pb WHERE pa <> pb AND NOT EXISTS (SELECT 1 FROM vector_terms s JOIN vector_terms t ON s.term = t.term WHERE s.key = a.key AND t.key = b.key)),
