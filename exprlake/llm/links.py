@@ -24,6 +24,8 @@ RUN = 512
 #: Members of a block of an unresolved bucket: by their hashes alone, and with their sets.
 PARTS_BLOCK = 2048
 SETS_BLOCK = 512
+#: Rows of blocks that are worked on together.
+BATCH = 2000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,43 +164,58 @@ def linked(
     if opened.isEmpty():
         return joined
 
-    def pairs_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers of both sides, and which pairs this bucket is the first to hold and components keep apart."""
+    def cells(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each two blocks in a batch: row numbers of both sides, and the pairs to look at.
+
+        Those are the pairs that this bucket is the first to hold and that components keep apart.
+        """
         x = np.array(frame["parts"].tolist(), np.int64)
-        component, own = frame["component"].to_numpy(), frame["own"].to_numpy()
-        left, right = np.flatnonzero(own == frame["i"].iloc[0]), np.flatnonzero(own == frame["j"].iloc[0])
-        apart = component[left][:, None] != component[right][None, :]
-        return left, right, apart & (first_shared(x[left], x[right]) == frame["bucket"].iloc[0])
+        key, bucket, i, j, component, own = (frame[c].to_numpy() for c in ("key", "bucket", "i", "j", "component", "own"))
+        order = np.lexsort((j, i, bucket, key))
+        new = np.zeros(len(order), bool)
+        for c in (key, bucket, i, j):
+            new[1:] |= c[order][1:] != c[order][:-1]
+        for rows in np.split(order, np.flatnonzero(new)):
+            n = rows[0]
+            left, right = (rows, rows) if i[n] == j[n] else (rows[own[rows] == i[n]], rows[own[rows] == j[n]])
+            apart = component[left][:, None] != component[right][None, :]
+            if apart.any():
+                wanted = apart & (first_shared(x[left], x[right]) == bucket[n])
+                if wanted.any():
+                    yield left, right, wanted
 
     def asking(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, wanted = pairs_of(frame)
-        rows = np.union1d(left[wanted.any(axis=1)], right[wanted.any(axis=0)])
-        return frame.iloc[rows][["key", "bucket", "id"]]
+        found = [np.union1d(left[wanted.any(axis=1)], right[wanted.any(axis=0)]) for left, right, wanted in cells(frame)]
+        return frame.iloc[np.concatenate(found)][["key", "bucket", "id"]] if found else frame.iloc[:0][["key", "bucket", "id"]]
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, wanted = pairs_of(frame)
         items = [np.frombuffer(x, np.uint64) for x in frame["items"]]
         ids = frame["id"].to_numpy()
         size = np.array([len(x) for x in items])
-        shared = shared_counts([items[n] for n in left], [items[n] for n in right])
-        near = wanted & (shared > 0) & (100 * shared >= per_cent * (size[left][:, None] + size[right][None, :] - shared))
-        a, b = np.nonzero(near)
-        a, b = ids[left[a]], ids[right[b]]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for left, right, wanted in cells(frame):
+            shared = shared_counts([items[n] for n in left], [items[n] for n in right])
+            near = wanted & (shared > 0) & (100 * shared >= per_cent * (size[left][:, None] + size[right][None, :] - shared))
+            a, b = np.nonzero(near)
+            found.append((ids[left[a]], ids[right[b]]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
         kept_ = forest(a, b)
         return pd.DataFrame({"a": a[kept_], "b": b[kept_]})
 
     def blocks(rows: DataFrame, size: int) -> DataFrame:
-        """Every two blocks of a bucket's members, a block with itself included, under one ``key, bucket, i, j``."""
+        """Every two blocks of a bucket's members, a block with itself included, dealt to batches of about ``BATCH`` rows."""
         counts = rows.groupBy("key", "bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+        batches = -(-rows.count() // BATCH) or 1
         return (
             rows.join(counts, ["key", "bucket"])
             .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+            .withColumn("batch", F.pmod(F.xxhash64("key", "bucket", "i", "j"), F.lit(batches)))
             .drop("blocks", "other")
         )
 
-    asked = blocks(opened, PARTS_BLOCK).groupBy("key", "bucket", "i", "j").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
+    asked = blocks(opened, PARTS_BLOCK).groupBy("batch").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
     rest = stored(asked.join(opened, ["key", "bucket", "id"]), "asking")
-    more = blocks(rest, SETS_BLOCK).join(sets, "id").groupBy("key", "bucket", "i", "j").applyInPandas(links, LINKS)
+    more = blocks(rest, SETS_BLOCK).join(sets, "id").groupBy("batch").applyInPandas(links, LINKS)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
