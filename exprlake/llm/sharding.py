@@ -2,8 +2,8 @@
 
 Rows of every stratum are shuffled by a seeded hash and ranked; rank ``r`` of ``n`` sits at the fraction
 ``(r - 0.5) / n`` of its stratum. Sorting all rows by that fraction interleaves the strata in proportion,
-and equal cuts of that order give shards whose row counts differ by one at most and whose share of each
-stratum differs by one row or so.
+and equal cuts of that order give shards whose row counts differ by one at most and in which no stratum is
+off its share by more rows than there are strata.
 
 No window spans a stratum or the table: ranks are counted inside hash buckets and shifted by the totals of
 the buckets before, so a stratum that holds a third of all rows is spread over as many tasks as any other.
