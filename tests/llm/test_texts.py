@@ -141,6 +141,28 @@ def test_passages_of_awkward_rows(spark, awkward, nothing):
     assert repeated_passages(nothing).count() == 0 and remove_passages(nothing, repeated_passages(nothing)).count() == 0
 
 
+def edited(passage, places):
+    words = passage.split()
+    for at in places:
+        words[at] = f"changed{at}"
+    return " ".join(words)
+
+
+def test_passages_with_changed_words(spark):
+    rng = random.Random(21)
+    rows, expected = [], {}
+    for i in range(0, 240, 2):
+        n, places = [(60, [30]), (95, [47]), (200, [40, 80, 120, 160])][i // 2 % 3]
+        passage, sides = sentence(rng, n), [f"edge{i}a{k} {sentence(rng, 30)} edge{i}b{k}" for k in range(4)]
+        rows += [(i, f"{sides[0]} {passage} {sides[1]}", None, None), (i + 1, f"{sides[2]} {edited(passage, places)} {sides[3]}", None, None)]
+        expected[i + 1] = (32, n, i)
+    got = Counter((r["doc_id"], r["start_word"], r["n_words"], r["first_doc_id"]) for r in repeated_passages(frame(spark, rows)).collect())
+    whole = {k: got[(k, *x)] for k, x in expected.items()}
+    # the 30 words on each side of the change may be without a whole paragraph
+    assert sum(whole.values()) >= 0.95 * len(expected)
+    assert all(whole[k] == 1 for k, x in expected.items() if x[1] > 60)
+
+
 def test_cuts_do_not_depend_on_what_is_around():
     rng = random.Random(9)
     passage, other = sentence(rng, 200), sentence(rng, 37)
