@@ -163,6 +163,26 @@ def test_passages_with_changed_words(spark):
     assert all(whole[k] == 1 for k, x in expected.items() if x[1] > 60)
 
 
+def test_passages_hide_behind_no_phrase(spark):
+    rng = random.Random(22)
+    rows, expected = [], {}
+    for i in range(0, 400, 10):
+        passage, side = sentence(rng, 60).split(), [f"edge{i}a{k} {sentence(rng, 30)} edge{i}b{k}" for k in range(14)]
+        if i % 40 == 0:  # earlier documents have a phrase of it each
+            stock, ahead = [passage[20:42]], ""
+        elif i % 40 == 10:
+            stock, ahead = [passage[:20], passage[20:40], passage[40:]], ""
+        elif i % 40 == 20:  # the same first document has a phrase before
+            stock, ahead = [], " ".join(passage[20:42])
+        else:  # no paragraph begins in what follows for longer than one look
+            stock, ahead, passage = [], "", passage + ["la"] * 300
+        rows += [(i + k, f"{side[k]} {' '.join(x)} {side[k + 4]}", None, None) for k, x in enumerate(stock)]
+        rows += [(i + k, f"{ahead} {side[k]} {' '.join(passage)} {side[k + 4]}" if k == 8 else f"{side[k]} {' '.join(passage)} {side[k + 4]}", None, None) for k in (8, 9)]
+        expected[i + 9] = (32, len(passage), i + 8)
+    got = Counter((r["doc_id"], r["start_word"], r["n_words"], r["first_doc_id"]) for r in repeated_passages(frame(spark, rows)).collect())
+    assert {k: got[(k, *x)] for k, x in expected.items()} == dict.fromkeys(expected, 1)
+
+
 def test_cuts_do_not_depend_on_what_is_around():
     rng = random.Random(9)
     passage, other = sentence(rng, 200), sentence(rng, 37)
