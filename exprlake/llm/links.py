@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprlake.llm.common import stored
@@ -93,8 +93,8 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
 
-    dealt = pivot.union(member).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(check, LINKS)
+    sent = pivot.union(member).repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first())
+    return sent.mapInArrow(check, LINKS)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -140,6 +140,41 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
+def dealt(rows: DataFrame, size: int) -> DataFrame:
+    """Rows ``key, bucket, id, component`` once for every two blocks of a bucket that are to be compared: ``own, i, j, batch``.
+
+    A component of more than ``size`` members has blocks of its own, which are never compared with one another; the
+    others share blocks, each component in one. Two blocks are a batch; buckets of one block share batches of about ``BATCH`` rows.
+    """
+    counts = rows.groupBy("key", "bucket", "component").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("alone", F.when(F.col("n") > size, F.col("component")))
+    units = counts.groupBy("key", "bucket", "alone").agg(F.sum("n").alias("n")).withColumn("blocks", F.ceil(F.col("n") / size).cast("int"))
+    bucket = Window.partitionBy("key", "bucket")
+    before = F.sum("blocks").over(bucket.orderBy(F.col("alone").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+    units = stored(
+        units.withColumns({"skipped": F.coalesce(before, F.lit(0)).cast("int"), "all": F.sum("blocks").over(bucket).cast("int")}), "block-units"
+    )
+    batches = -(-(units.filter(F.col("all") == 1).agg(F.sum("n")).first()[0] or 0) // BATCH) or 1
+    # few components are larger than a block
+    big = units.filter("alone IS NOT NULL").select("key", "bucket", F.col("alone").alias("component"), "alone", "blocks", "skipped", "all")
+    shared = units.filter("alone IS NULL").select("key", "bucket", *(F.col(c).alias(f"{c}_") for c in ("blocks", "skipped", "all")))
+    placed = rows.join(big, ["key", "bucket", "component"], "left").join(shared, ["key", "bucket"], "left")
+    placed = placed.withColumns({c: F.when(F.col("alone").isNull(), F.col(f"{c}_")).otherwise(F.col(c)) for c in ("blocks", "skipped", "all")})
+    number = F.when(F.col("alone").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("id"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("all") - 1),
+        lambda x: F.col("alone").isNull() | (x < F.col("skipped")) | (x >= F.col("skipped") + F.col("blocks")),
+    )
+    cell = F.xxhash64("key", "bucket", "i", "j")
+    return (
+        placed.withColumn("own", F.col("skipped") + F.pmod(number, F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(others))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .withColumn("batch", F.when(F.col("all") == 1, F.pmod(cell, F.lit(batches))).otherwise(cell))
+        .drop("alone", "blocks", "skipped", "all", "other", "blocks_", "skipped_", "all_")
+    )
+
+
 def linked(
     keyed: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int, first_shared: Callable[[np.ndarray, np.ndarray], np.ndarray],
 ) -> DataFrame:
@@ -202,20 +237,7 @@ def linked(
         kept_ = forest(a, b)
         return pd.DataFrame({"a": a[kept_], "b": b[kept_]})
 
-    def blocks(rows: DataFrame, size: int) -> DataFrame:
-        """Every two blocks of a bucket's members, a block with itself included, dealt to batches of about ``BATCH`` rows."""
-        counts = rows.groupBy("key", "bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-        batches = -(-rows.count() // BATCH) or 1
-        return (
-            rows.join(counts, ["key", "bucket"])
-            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-            .withColumn("batch", F.pmod(F.xxhash64("key", "bucket", "i", "j"), F.lit(batches)))
-            .drop("blocks", "other")
-        )
-
-    asked = blocks(opened, PARTS_BLOCK).groupBy("batch").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
+    asked = dealt(opened, PARTS_BLOCK).groupBy("batch").applyInPandas(asking, "key bigint, bucket int, id bigint").distinct()
     rest = stored(asked.join(opened, ["key", "bucket", "id"]), "asking")
-    more = blocks(rest, SETS_BLOCK).join(sets, "id").groupBy("batch").applyInPandas(links, LINKS)
+    more = dealt(rest, SETS_BLOCK).join(sets, "id").groupBy("batch").applyInPandas(links, LINKS)
     return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from exprlake.llm import imatch, ppm, toxicity
+from exprlake.llm import imatch, links, ppm, toxicity
 from exprlake.llm.common import word_ids
 from exprlake.llm.links import components, forest, shared_counts
 from exprlake.llm.neardup import near_duplicates, shingles
@@ -141,6 +141,25 @@ def test_passages_of_awkward_rows(spark, awkward, nothing):
     assert repeated_passages(nothing).count() == 0 and remove_passages(nothing, repeated_passages(nothing)).count() == 0
 
 
+def test_blocks_are_bounded_and_skip_settled_components(spark):
+    # one key: a component of 3,000, one of 100 and 40 of a single member; others: two members each
+    rows = [(1, 0, i, 0) for i in range(3000)] + [(1, 0, 4000 + i, 4000) for i in range(100)] + [(1, 0, 5000 + i, 5000 + i) for i in range(40)]
+    rows += [(k, 0, 6000 + 2 * k + x, 6000 + 2 * k + x) for k in range(2, 500) for x in (0, 1)]
+    size = 64
+    got = links.dealt(spark.createDataFrame(rows, "key bigint, bucket int, id bigint, component bigint"), size).toPandas()
+    assert got.groupby("batch").size().max() <= max(4 * size, 2 * links.BATCH)
+    hot = got[got["key"] == 1]
+    # a member meets the blocks of others, not those of its own component
+    assert len(hot[hot["component"] == 0]) == 3000 * 3 and len(hot) < 3000 * 3 + 200 * 60
+    met = Counter()
+    for (_, i, j), cell in hot.groupby(["batch", "i", "j"]):
+        left, right = cell[cell["own"] == i], cell[cell["own"] == j]
+        for a, c in zip(left["id"], left["component"], strict=True):
+            met.update((min(a, b), max(a, b)) for b, d in zip(right["id"], right["component"], strict=True) if c != d and (i != j or a < b))
+    sizes = [3000, 100, *[1] * 40]
+    assert set(met.values()) == {1} and len(met) == (sum(sizes) ** 2 - sum(n * n for n in sizes)) // 2
+
+
 def edited(passage, places):
     words = passage.split()
     for at in places:
