@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from exprlake.llm.ann import nearest
 from exprlake.llm.common import remainder
+from exprlake.llm.divergence import ORACLE as DIVERGENCE_SQL
+from exprlake.llm.divergence import divergence
 from exprlake.llm.imatch import edited_fingerprints
 from exprlake.llm.langid import fit as fit_languages
 from exprlake.llm.langid import identify
@@ -115,3 +117,12 @@ def op10_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFram
 def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that an earlier document already has."""
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sets every source apart from its language and from the language's other sources."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = DIVERGENCE_SQL
