@@ -19,9 +19,12 @@ from exprlake.llm.neardup import near_duplicates
 from exprlake.llm.packing import pack
 from exprlake.llm.passages import repeated_passages
 from exprlake.llm.ppm import score as ppm_score
+from exprlake.llm.prefixes import ORACLE as TRIE_SQL
+from exprlake.llm.prefixes import prefix_trie
 from exprlake.llm.sharding import interleave
 from exprlake.llm.toxicity import fit as fit_toxicity
 from exprlake.llm.toxicity import score as toxicity_score
+from exprlake.llm.webpages import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +122,12 @@ def op9_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, compared with the page of the nearest URL of its host."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @register
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What sets every source apart from its language and from the language's other sources."""
@@ -126,3 +135,13 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_source_divergence"] = DIVERGENCE_SQL
+
+
+@register
+def op13_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the conversations, rebuilt on the heads of every fifth one."""
+    head = F.crc32(F.col("conv_id").cast("string")) % 9
+    return prefix_trie(table(spark, sf_dir, "conversations"), F.col("conv_id") - F.col("conv_id") % 5, head)
+
+
+ORACLES["op13_prefix_fingerprints"] = TRIE_SQL
