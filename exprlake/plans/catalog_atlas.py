@@ -35,14 +35,20 @@ def near(spark, d):
     return at.similarities(measurement(spark, d), ref, info, SETTINGS)
 
 
-NEAR = MEASUREMENT + ", " + SAMPLE_META + """,
+# the scale of a request as a whole (its largest value is above the threshold), and of each sample by itself
+WHOLE = """qlog AS (SELECT sample_id AS id, feature, ln(1 + value * 1e6 / greatest(sum(value) OVER (PARTITION BY sample_id), 1.0)) AS v FROM measurement),"""
+EACH = """known AS (SELECT sample_id, count(*) AS k, count(*) FILTER (WHERE feature IN (SELECT feature FROM rraw)) AS s FROM measurement GROUP BY 1),
+shared AS (SELECT * FROM measurement WHERE feature IN (SELECT feature FROM rraw) AND sample_id IN (SELECT sample_id FROM known WHERE s >= least(20, greatest(5, ceil(0.4 * k))))),
+qlog AS (SELECT sample_id AS id, feature, CASE WHEN max(value) OVER (PARTITION BY sample_id) > 30 THEN ln(1 + value * 1e6 / greatest(sum(value) OVER (PARTITION BY sample_id), 1.0)) ELSE value END AS v FROM shared),"""
+
+NEAR_OF = MEASUREMENT + ", " + SAMPLE_META + """,
 feats AS (SELECT DISTINCT feature FROM measurement),
 mem AS (SELECT sample_id, nation || '/' || cohort AS reference_id FROM sample_meta WHERE sample_id IN (SELECT sample_id FROM measurement)),
 info AS (SELECT DISTINCT nation || '/' || cohort AS reference_id, region AS species, CASE WHEN group_id < 5 THEN 'TCGA-' || cohort WHEN group_id < 8 THEN 'unlabelled ' || nation ELSE cohort END AS tissue FROM sample_meta WHERE group_id <> 10),
 rsize AS (SELECT reference_id, count(*) AS k FROM mem GROUP BY 1),
 rraw AS (SELECT mem.reference_id AS id, feature, sum(value) / max(k) AS v FROM measurement JOIN mem ON measurement.sample_id = mem.sample_id JOIN rsize ON rsize.reference_id = mem.reference_id GROUP BY 1, 2),
 rlog AS (SELECT id, feature, ln(1 + v * 1e6 / greatest(sum(v) OVER (PARTITION BY id), 1.0)) AS v FROM rraw),
-qlog AS (SELECT sample_id AS id, feature, ln(1 + value * 1e6 / greatest(sum(value) OVER (PARTITION BY sample_id), 1.0)) AS v FROM measurement),
+{query}
 rg AS (SELECT i.id, f.feature, coalesce(v, 0) AS v FROM (SELECT DISTINCT id FROM rlog) i CROSS JOIN feats f LEFT JOIN rlog ON rlog.id = i.id AND rlog.feature = f.feature),
 qg AS (SELECT i.id, f.feature, coalesce(v, 0) AS v FROM (SELECT DISTINCT id FROM qlog) i CROSS JOIN feats f LEFT JOIN qlog ON qlog.id = i.id AND qlog.feature = f.feature),
 rc AS (SELECT id, feature, v - avg(v) OVER (PARTITION BY id) AS v FROM rg), qc AS (SELECT id, feature, v - avg(v) OVER (PARTITION BY id) AS v FROM qg),
@@ -58,6 +64,7 @@ soft AS (SELECT sample_id, species, exp(greatest((s - max(s) OVER w) / 0.08::DOU
 wt AS (SELECT sample_id, species, e / sum(e) OVER (PARTITION BY sample_id) AS weight FROM soft),
 wr AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY weight DESC, species) AS j FROM wt),
 votes AS (SELECT sample_id, max(species) FILTER (WHERE j = 1) AS top, max(weight) FILTER (WHERE j = 1) AS weight, coalesce(max(weight) FILTER (WHERE j = 1) - max(weight) FILTER (WHERE j = 2), 1) AS margin FROM (SELECT DISTINCT sample_id FROM near) LEFT JOIN wr USING (sample_id) GROUP BY 1)"""
+NEAR = NEAR_OF.replace("{query}", WHOLE)
 
 
 @query("vec03_reference_matches", f"""WITH {NEAR} SELECT sample_id, reference_id, tissue, reference_type, {R('similarity', 5)} AS similarity FROM classed WHERE k <= 5""")
@@ -94,10 +101,14 @@ def win15(spark, d):
     return rounded(at.tissue_evidence(at.matches(near(spark, d), SETTINGS)).drop("rank"), "score", digits=5)
 
 
-MATCH = f"""WITH {NEAR}, b AS (SELECT sample_id, arg_min(reference_id, rank) AS best_reference, arg_min(tissue, rank) AS best_tissue, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'healthy_tissue' GROUP BY 1),
-t AS (SELECT sample_id, arg_min(reference_id, rank) AS nearest_tumor, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'tumor_cohort' GROUP BY 1)
-SELECT v.sample_id, CASE WHEN top IS NOT NULL AND margin >= 0.1 THEN top ELSE 'indeterminate' END AS call, {R('margin', 5)} AS margin, best_reference, best_tissue, {R('b.s', 5)} AS best_similarity, nearest_tumor, {R('t.s', 5)} AS tumor_similarity
+BEST = """b AS (SELECT sample_id, arg_min(reference_id, rank) AS best_reference, arg_min(tissue, rank) AS best_tissue, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'healthy_tissue' GROUP BY 1),
+t AS (SELECT sample_id, arg_min(reference_id, rank) AS nearest_tumor, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'tumor_cohort' GROUP BY 1)"""
+CALL = "WHEN top IS NOT NULL AND margin >= 0.1 THEN top ELSE 'indeterminate' END AS call"
+ANSWER = f"{R('margin', 5)} AS margin, best_reference, best_tissue, {R('b.s', 5)} AS best_similarity, nearest_tumor, {R('t.s', 5)} AS tumor_similarity"
+MATCH = f"""WITH {NEAR}, {BEST} SELECT v.sample_id, CASE {CALL}, {ANSWER}
 FROM votes v LEFT JOIN b ON v.sample_id = b.sample_id LEFT JOIN t ON v.sample_id = t.sample_id"""
+ARRIVALS = f"""WITH {NEAR_OF.replace("{query}", EACH)}, {BEST} SELECT e.sample_id, CASE WHEN v.sample_id IS NULL THEN '{at.INSUFFICIENT}' {CALL}, {ANSWER}
+FROM (SELECT DISTINCT sample_id FROM measurement) e LEFT JOIN votes v ON v.sample_id = e.sample_id LEFT JOIN b ON e.sample_id = b.sample_id LEFT JOIN t ON e.sample_id = t.sample_id"""
 
 
 @query("entry1_atlas_match", MATCH)
@@ -175,8 +186,9 @@ def str02(spark, d):
     return rounded(done, "mean")
 
 
-@query("str03_match_arrivals", MATCH)
+@query("str03_match_arrivals", ARRIVALS)
 def str03(spark, d):
+    """Every arriving sample is judged by itself, so the answer doesn't depend on the files that arrive together."""
     ref, info = references(spark, d)
     ref, info = materialize(ref, "atlas"), materialize(info, "atlas-info")
     path = shards(spark, d)

@@ -56,3 +56,22 @@ def test_stream_resumes_and_equals_batch(spark):
     assert got == {(r[0], r[1]): (pytest.approx(r[2]), r[3]) for r in want}
     with pytest.raises(inc.StateMismatch):
         inc.check_state(spark, f"{base}/out", {"width": 3})
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_arrivals_do_not_depend_on_their_batch(spark, tiny_atlas, files):
+    """A sample of small values stays on its scale beside one of large values, and one of too few features is told so."""
+    settings = at.AtlasSettings(minimum_shared=3, sparse_minimum=2)
+    log = dict(zip("ABC", (4.0, 1.0, 0.0)))
+    rows = [("raw", g, math.expm1(v) * 1e4) for g, v in log.items()] + [("scaled", g, v) for g, v in log.items()]
+    rows += [("few", "A", 3.0), ("few", "X", 1.0), ("few", "Y", 1.0)] + [(f"more{i}", g, float(i + ord(g))) for i in range(4) for g in "ABC"]
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    measured = spark.createDataFrame(rows, "sample_id string, feature string, value double")
+    measured.repartition(6, "sample_id").write.parquet(f"{path}/in")
+    stream = inc.stream_shards(spark, f"{path}/in", measured.schema, files)
+    found = inc.match_arrivals(stream, f"{path}/out", f"{path}/ck", lambda b: at.atlas_match(b, *tiny_atlas, settings, per_sample=True))
+    got = {r["sample_id"]: r for r in found.collect()}
+    assert set(got) == {r[0] for r in rows} and got["few"]["call"] == at.INSUFFICIENT and got["few"]["best_reference"] is None
+    assert got["scaled"]["best_reference"] == got["raw"]["best_reference"] == "human_liver"
+    assert got["scaled"]["best_similarity"] == pytest.approx(1.0, abs=1e-6)
+    assert sum(r["call"] == at.INSUFFICIENT for r in got.values()) == 1
