@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from exprlake.functions.columns import draw_key, finite, safe_div
-from exprlake.operators.metrics import auroc_auprc
+from exprlake.operators.bootstrap import replicate_auc
 from exprlake.operators.ordering import cumulative, exact_percentile, keyed_position, same_key, suffix_min
 from exprlake.session import materialize
 
@@ -144,10 +144,7 @@ def bootstrap_counts(df: DataFrame, strata: Sequence[str], key: str, replicates:
 
 def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, label: str, score: str, replicates: int, seed: int, strata: Sequence[str] | None = None) -> DataFrame:
     """AUROC and AUPRC of every replicate; one-class replicates are NULL."""
-    strata = list(strata or groups)
-    times = bootstrap_counts(df.select(*strata, key).distinct(), strata, key, replicates, seed)
-    rows = same_key(df, times, [*strata, key])
-    return auroc_auprc(rows, [*groups, "replicate"], label, score, "times")
+    return replicate_auc(df, groups, key, label, score, replicates, seed, groups if strata is None else strata)
 
 
 def percentile_interval(reps: DataFrame, groups: Sequence[str], metrics: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -172,10 +169,7 @@ def paired_deltas(df: DataFrame, groups: Sequence[str], key: str, method: str, l
     both = pair.groupBy(*groups, key).agg(F.count_distinct(method).alias("_m")).filter(F.col("_m") == 2).drop("_m")
     pair = pair.join(both, [*groups, key], "left_semi")
     where = [*groups, *[s for s in strata if s not in groups]]
-    if not where:
-        pair, where = pair.withColumn("_all", F.lit(1)), ["_all"]
-    times = bootstrap_counts(pair.select(*where, key).distinct(), where, key, replicates, seed)
-    per = auroc_auprc(same_key(pair, times, [*where, key]), [*groups, method, "replicate"], label, score, "times")
+    per = replicate_auc(pair, [*groups, method], key, label, score, replicates, seed, where)
 
     def side(m: str, c: str) -> Column:
         return F.max(F.when(F.col(method) == m, F.col(c)))

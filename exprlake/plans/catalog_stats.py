@@ -81,20 +81,21 @@ def sta04(spark, d):
     return rounded(q.select("feature", "cohort", "p_value", "q_within", "q_global"), "p_value", "q_within", "q_global")
 
 
-BOOT = 40
+#: Replicates of an interval, of paired deltas, and of their average over cohorts.
+BOOT, PAIRED, MACRO = 1000, 3000, 2000
 
 
-def draws(source, strata, key="doc_id"):
+def draws(source, strata, replicates, key="doc_id"):
     """Multinomial resampling counts: place hash mod n inside each stratum, for every replicate."""
     g = ", ".join(strata)
     cat = " || ':' || ".join(f"CAST({s} AS VARCHAR)" for s in strata)
     same = " AND ".join(f"a.{s} = b.{s}" for s in strata)
     return f"""pl AS (SELECT {g}, {key}, row_number() OVER (PARTITION BY {g} ORDER BY {key}) AS p, count(*) OVER (PARTITION BY {g}) AS m FROM (SELECT DISTINCT {g}, {key} FROM {source})),
-dr AS (SELECT {g}, replicate, ('0x' || substr(md5('11:' || {cat} || ':' || CAST(replicate AS VARCHAR) || ':' || CAST(p AS VARCHAR)), 1, 13))::BIGINT % m + 1 AS p FROM pl, (SELECT unnest(range(1, {BOOT + 1})) AS replicate)),
+dr AS (SELECT {g}, replicate, ('0x' || substr(md5('11:' || {cat} || ':' || CAST(replicate AS VARCHAR) || ':' || CAST(p AS VARCHAR)), 1, 13))::BIGINT % m + 1 AS p FROM pl, (SELECT unnest(range(1, {replicates + 1})) AS replicate)),
 bt AS (SELECT {', '.join('a.' + s for s in strata)}, b.{key}, a.replicate, count(*) AS times FROM dr a JOIN pl b ON {same} AND a.p = b.p GROUP BY ALL)"""
 
 
-@query("sta05_bootstrap_interval", f"""WITH {PREDICTIONS}, {draws('predictions', ['method'])}, x AS (SELECT p.method, label, score, replicate, times FROM predictions p JOIN bt ON p.method = bt.method AND p.doc_id = bt.doc_id),
+@query("sta05_bootstrap_interval", f"""WITH {PREDICTIONS}, {draws('predictions', ['method'], BOOT)}, x AS (SELECT p.method, label, score, replicate, times FROM predictions p JOIN bt ON p.method = bt.method AND p.doc_id = bt.doc_id),
 {auc_cte('m', 'x', ['method', 'replicate'], weight='times')}
 SELECT method, {R('quantile_cont(auroc, 0.025)')} AS auroc_ci_low, {R('quantile_cont(auroc, 0.975)')} AS auroc_ci_high, {R('quantile_cont(auprc, 0.025)')} AS auprc_ci_low, {R('quantile_cont(auprc, 0.975)')} AS auprc_ci_high, count(auroc) AS valid FROM m GROUP BY 1""")
 def sta05(spark, d):
@@ -114,19 +115,19 @@ CI = ", ".join(f"{R(f'quantile_cont({m}, {q})')} AS {m}_ci_{n}" for m in ("auroc
 PAIR = "pr AS (SELECT *, 1 AS _all FROM predictions WHERE method IN ('length', 'lines'))"
 
 
-@query("sta06_paired_deltas", f"""WITH {PREDICTIONS}, {PAIR}, {draws('pr', ['_all'])}, {delta_sql(['_all'], [])}
+@query("sta06_paired_deltas", f"""WITH {PREDICTIONS}, {PAIR}, {draws('pr', ['_all'], PAIRED)}, {delta_sql(['_all'], [])}
 SELECT 'length-lines' AS contrast, {CI}, count(auroc) AS valid FROM dl""")
 def sta06(spark, d):
-    deltas = st.paired_deltas(predictions(spark, d), [], "doc_id", "method", "label", "score", "length", "lines", BOOT, 11)
+    deltas = st.paired_deltas(predictions(spark, d), [], "doc_id", "method", "label", "score", "length", "lines", PAIRED, 11)
     ci = st.percentile_interval(deltas.withColumn("contrast", F.lit("length-lines")), ["contrast"], ["auroc", "auprc"])
     return rounded(ci, "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high")
 
 
-@query("sta07_stratified_macro_deltas", f"""WITH {PREDICTIONS}, {PAIR}, {draws('pr', ['cohort', 'label'])}, {delta_sql(['cohort', 'label'], ['cohort'])},
+@query("sta07_stratified_macro_deltas", f"""WITH {PREDICTIONS}, {PAIR}, {draws('pr', ['cohort', 'label'], MACRO)}, {delta_sql(['cohort', 'label'], ['cohort'])},
 mac AS (SELECT replicate, avg(auroc) AS auroc, avg(auprc) AS auprc FROM dl GROUP BY 1)
 SELECT 'length-lines' AS contrast, {CI}, count(auroc) AS valid FROM mac""")
 def sta07(spark, d):
-    deltas = st.paired_deltas(predictions(spark, d), ["cohort"], "doc_id", "method", "label", "score", "length", "lines", BOOT, 11, ["label"])
+    deltas = st.paired_deltas(predictions(spark, d), ["cohort"], "doc_id", "method", "label", "score", "length", "lines", MACRO, 11, ["label"])
     macro = st.macro_deltas(deltas.withColumn("contrast", F.lit("length-lines")), ["contrast"])
     return rounded(st.percentile_interval(macro, ["contrast"], ["auroc", "auprc"]), "auroc_ci_low", "auroc_ci_high", "auprc_ci_low", "auprc_ci_high")
 
