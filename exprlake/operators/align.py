@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from exprlake.functions.columns import draw_key, finite
 from exprlake.operators.ordering import draw_position
 
+#: Features up to which a vocabulary is a literal of the plan; a larger one is joined.
 MAX_VOCABULARY = 200_000
+#: Positions of a larger vocabulary that one row holds.
+POSITIONS = 4096
 _SEP = "\u0001"
 
 
-def vocabulary_names(vocabulary: DataFrame) -> list[str]:
-    """Feature names in order of ``pos``; refuses a vocabulary too large for a plan literal."""
+def vocabulary_names(vocabulary: DataFrame) -> list[str] | None:
+    """Feature names in order of ``pos``; none for a vocabulary too large for a plan literal."""
     rows = vocabulary.select("feature", "pos").orderBy("pos").limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError("vocabulary too large to pack into one array; use the long form (align_long)")
-    return [str(r["feature"]) for r in rows]
+    return [str(r["feature"]) for r in rows] if len(rows) <= MAX_VOCABULARY else None
 
 
 def pack(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0, names: list[str] | None = None) -> DataFrame:
@@ -29,14 +30,43 @@ def pack(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0, names:
     Only the measured cells are shuffled. The gaps between two measured
     positions are filled inside the row, in one pass over the sorted cells.
     A feature that a sample measures more than once counts with its mean.
+    The profiles of a vocabulary too large for a plan literal are put together from blocks of positions.
     """
     names = names if names is not None else vocabulary_names(vocabulary)
-    width = len(names)
-    gap = F.lit(fill).cast("double")
+    if names is None:
+        blocks = F.array_sort(F.collect_list(F.struct("block", "values")))
+        whole = pack_blocks(df, vocabulary, fill).groupBy("sample_id").agg(blocks.alias("blocks"))
+        return whole.select("sample_id", F.flatten(F.transform("blocks", lambda b: b["values"])).alias("values"))
     known = df.join(vocabulary.select("feature", F.col("pos").cast("int").alias("pos")), "feature", "left")
-    listed = known.groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("value").cast("double").alias("v"))))).alias("c")
+    return _filled(_listed(known, ["sample_id"]), F.lit(len(names)), fill).select("sample_id", "values")
+
+
+def pack_blocks(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0) -> DataFrame:
+    """As :func:`pack`, in rows ``sample_id, block, values`` of at most ``POSITIONS`` positions, whatever the vocabulary's size."""
+    width = vocabulary.count()
+    if width == 0:
+        return df.select("sample_id").distinct().select("sample_id", F.lit(0).alias("block"), F.array().cast("array<double>").alias("values"))
+    places = vocabulary.select(
+        "feature", F.floor(F.col("pos") / POSITIONS).cast("int").alias("block"), F.pmod("pos", F.lit(POSITIONS)).cast("int").alias("pos")
     )
+    cells = _listed(df.join(places, "feature"), ["sample_id", "block"])
+    # a sample has every block, measured or not
+    every = F.explode(F.sequence(F.lit(0), F.lit((width - 1) // POSITIONS)))
+    grid = df.select("sample_id").distinct().withColumn("block", every).join(cells, ["sample_id", "block"], "left")
+    none = F.array().cast(cells.schema["c"].dataType)
+    size = F.least(F.lit(POSITIONS), F.lit(width) - F.col("block") * POSITIONS).cast("int")
+    return _filled(grid.withColumn("c", F.coalesce("c", none)), size, fill).select("sample_id", "block", "values")
+
+
+def _listed(known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The measured cells of a row, ``c``, sorted by position."""
+    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.col("value").cast("double").alias("v")))
+    return known.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+
+
+def _filled(listed: DataFrame, width: Column, fill: float | None) -> DataFrame:
+    """Dense ``values`` of ``width`` positions from the cells ``c``."""
+    gap = F.lit(fill).cast("double")
     # sorted by position, so a repeated position follows itself; cells of one position are met in the row
     at = F.array_distinct(F.transform("c", lambda x: x["pos"]))
     repeated = F.transform(at, lambda p: F.struct(p.alias("pos"), _mean_at(F.col("c"), p).alias("v")))
@@ -46,9 +76,8 @@ def pack(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0, names:
         "c", F.slice(before, 1, F.size("c")),
         lambda x, p: F.concat(F.array_repeat(gap, x["pos"] - p - 1), F.array(F.coalesce(x["v"], gap))),
     ))
-    last = F.element_at(before, -1)
-    values = F.concat(filled, F.array_repeat(gap, F.lit(width - 1) - last))
-    return cells.select("sample_id", values.alias("values"))
+    values = F.concat(filled, F.array_repeat(gap, width - 1 - F.element_at(before, -1)))
+    return cells.withColumn("values", values)
 
 
 def _mean_at(cells: Column, pos: Column) -> Column:
@@ -57,16 +86,33 @@ def _mean_at(cells: Column, pos: Column) -> Column:
     return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda a, v: a + v) / F.size(own))
 
 
-def unpack(profile: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Packed profiles back to measurements."""
+def unpack(profile: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
+    """Packed profiles back to measurements; ``names`` in order, or a vocabulary too large to be a literal."""
+    if isinstance(names, DataFrame):
+        count = F.ceil(F.size("values") / POSITIONS).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice("values", b * POSITIONS + 1, POSITIONS))
+        return unpack_blocks(profile.filter(F.size("values") > 0).select("sample_id", F.posexplode(parts).alias("block", "values")), names)
     lookup = F.split(F.lit(_SEP.join(names)), _SEP)
     long = profile.select("sample_id", F.posexplode("values").alias("_p", "value"))
     return long.select("sample_id", lookup[F.col("_p")].alias("feature"), "value")
 
 
+def unpack_blocks(blocks: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows ``sample_id, block, values`` to measurements; the names of a block are one row."""
+    listed = F.array_sort(F.collect_list(F.struct("pos", "feature")))
+    names = vocabulary.groupBy(F.floor(F.col("pos") / POSITIONS).cast("int").alias("block")).agg(F.transform(listed, lambda x: x["feature"]).alias("names"))
+    cells = blocks.join(names, "block").select("sample_id", F.explode(F.arrays_zip(F.col("names").alias("feature"), F.col("values").alias("value"))).alias("x"))
+    return cells.select("sample_id", "x.feature", "x.value")
+
+
 def align(df: DataFrame, vocabulary: DataFrame, fill: float | None = 0.0) -> DataFrame:
-    """Dense measurements over the vocabulary, absent features set to ``fill``."""
+    """Dense measurements over the vocabulary, absent features set to ``fill``.
+
+    A vocabulary too large for a plan literal is completed by blocks of positions.
+    """
     names = vocabulary_names(vocabulary)
+    if names is None:
+        return unpack_blocks(pack_blocks(df, vocabulary, fill), vocabulary)
     return unpack(pack(df, vocabulary, fill, names), names)
 
 

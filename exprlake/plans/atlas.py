@@ -13,7 +13,7 @@ from exprlake.operators.align import MAX_VOCABULARY, pack
 from exprlake.operators.clean import UNKNOWN_TISSUE as UNKNOWN
 from exprlake.operators.clean import reference_class
 from exprlake.operators.normalize import log1p_cpm
-from exprlake.operators.ordering import top_k
+from exprlake.operators.ordering import keyed_position, top_k
 from exprlake.operators.ranking import first_of_class, label_scores, quota_top_k, vote_call
 from exprlake.operators.vectors import exact_knn
 from exprlake.session import materialize
@@ -49,27 +49,45 @@ def query_on_log_scale(query: DataFrame, threshold: float = 30.0, per_sample: bo
     return log1p_cpm(clipped) if top is not None and top > threshold else clipped
 
 
-def feature_names(reference: DataFrame) -> list[str]:
-    """All features of the atlas by name; a vocabulary has a bounded size, which is checked before it is read."""
-    rows = reference.select("feature").distinct().orderBy("feature").limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise OverlapError(f"more than {MAX_VOCABULARY} features in the atlas")
-    return [r["feature"] for r in rows]
+def in_order(features: DataFrame, names: list[str] | None) -> DataFrame:
+    """``feature, pos`` by name: from the list where it is small, else ranked on Spark."""
+    if names is not None:
+        return features.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, pos int")
+    placed = keyed_position(features.select("feature").distinct(), [], "feature", "pos")
+    return materialize(placed.select("feature", (F.col("pos") - 1).cast("int").alias("pos")), "vocabulary")
+
+
+def feature_names(features: DataFrame) -> list[str] | None:
+    """All features by name; none where they are more than a plan literal holds."""
+    rows = features.select("feature").distinct().orderBy("feature").limit(MAX_VOCABULARY + 1).collect()
+    return [r["feature"] for r in rows] if len(rows) <= MAX_VOCABULARY else None
 
 
-def shared_names(query: DataFrame, reference: DataFrame, settings: AtlasSettings) -> list[str]:
+def marked(query: DataFrame, reference: DataFrame) -> DataFrame:
+    """``feature, known``: the request's features, and whether the atlas has them."""
+    known = reference.select("feature").distinct().withColumn("known", F.lit(True))
+    return query.select("feature").distinct().join(known, "feature", "left")
+
+
+def check_overlap(shared: int, submitted: int, settings: AtlasSettings) -> None:
+    need = min(settings.minimum_shared, max(settings.sparse_minimum, math.ceil(0.4 * submitted)))
+    if shared < need:
+        raise OverlapError(f"only {shared} features overlap the atlas; at least {need} are required")
+
+
+def shared_names(query: DataFrame, reference: DataFrame, settings: AtlasSettings) -> list[str] | None:
     """Features both sides have, by name; an error when there are too few for the request's size.
 
-    A vocabulary has a bounded size, which is checked before it is read.
+    None where the request has more features than a plan literal holds.
     """
-    known = reference.select("feature").distinct().withColumn("known", F.lit(True))
-    rows = query.select("feature").distinct().join(known, "feature", "left").orderBy("feature").limit(MAX_VOCABULARY + 1).collect()
+    found = marked(query, reference)
+    rows = found.orderBy("feature").limit(MAX_VOCABULARY + 1).collect()
     if len(rows) > MAX_VOCABULARY:
-        raise OverlapError(f"more than {MAX_VOCABULARY} features in one request")
+        sizes = found.agg(F.count("known").alias("shared"), F.count("*").alias("submitted")).first()
+        check_overlap(sizes["shared"], sizes["submitted"], settings)
+        return None
     names = [r["feature"] for r in rows if r["known"]]
-    need = min(settings.minimum_shared, max(settings.sparse_minimum, math.ceil(0.4 * len(rows))))
-    if len(names) < need:
-        raise OverlapError(f"only {len(names)} features overlap the atlas; at least {need} are required")
+    check_overlap(len(names), len(rows), settings)
     return names
 
 
@@ -99,10 +117,10 @@ def similarities(
     query = materialize(query.select("sample_id", "feature", "value"), "request")
     reference = materialize(reference.select("reference_id", "feature", "value"), "atlas")
     if per_sample:
-        names = feature_names(reference)
+        names, features = feature_names(reference), reference
     else:
-        names = shared_names(query, reference, settings)
-    vocab = query.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, pos int")
+        names, features = shared_names(query, reference, settings), marked(query, reference).filter("known")
+    vocab = in_order(features, names)
     shared = vocab.select("feature")
     if per_sample:
         enough = overlapping(query, shared, settings).filter("enough").select("sample_id")

@@ -135,4 +135,4 @@ def aln13(spark, d):
         out["values"] = [np.where(np.isnan(x), np.nanmean(x), x) for x in (np.array(a, dtype=float) for a in frame["values"])]
         return out
 
-    return rounded(al.unpack(al.impute(al.pack(log_cpm(spark, d), v, None, names), own_mean), names), "value")
+    return rounded(al.unpack(al.impute(al.pack(log_cpm(spark, d), v, None, names), own_mean), v if names is None else names), "value")
