@@ -1,17 +1,13 @@
-"""Model fitting: many small linear models in one pass, and MLlib pipelines.
+"""Model fitting: cross-validated linear models, all fitted together, and MLlib pipelines.
 
 Cross-validation needs the same logistic regression fitted on many overlapping
 row sets (outer cohort x inner cohort x penalty, or term x fold x penalty).
-:func:`fit_many` trains all of them together: a Newton step is one scan in which
-each task adds up gradients and curvature for every model and emits a single row.
-Scaling, feature selection and class weights come from each model's own training
-rows only.
+:func:`exprlake.operators.fitting.fit_many` trains all of them over the same passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -22,140 +18,10 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from exprlake.functions.columns import safe_div
+from exprlake.operators.fitting import Fitted, Moments, Spec, arrays, fit_many, moments_by_fold
 from exprlake.operators.metrics import auroc_auprc
 from exprlake.session import materialize
 
-MERGE_TASKS = 8
-MAX_STATE = 20_000_000
-
-
-def add_rows(parts: DataFrame) -> np.ndarray:
-    """Sum of equally long ``sums`` arrays, merged by a few tasks before the driver sees them."""
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = None
-        for f in frames:
-            for v in f["sums"]:
-                acc = np.array(v, dtype=float) if acc is None else acc + np.asarray(v)
-        if acc is not None:
-            yield pd.DataFrame({"sums": [acc]})
-
-    rows = parts.repartition(MERGE_TASKS).mapInPandas(add, "sums array<double>").toPandas()
-    return np.sum([np.asarray(v, dtype=float) for v in rows["sums"]], axis=0)
-
-
-@dataclass(frozen=True)
-class Spec:
-    """One model: which label, which folds stay out of training, which it scores, and the penalty C."""
-
-    name: str
-    label: int
-    exclude: tuple[str, ...]
-    score: tuple[str, ...]
-    c: float = 1.0
-
-
-@dataclass
-class Fitted:
-    spec: Spec
-    coef: np.ndarray
-    mean: np.ndarray
-    scale: np.ndarray
-    keep: np.ndarray = field(repr=False)
-
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) / self.scale * self.keep
-        return 1.0 / (1.0 + np.exp(-np.clip(z @ self.coef[:-1] + self.coef[-1], -500, 500)))
-
-
-def _arrays(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.stack([np.asarray(v, dtype=float) for v in f["features"]])
-    y = np.stack([np.asarray(v, dtype=float) for v in f["labels"]])
-    return x, y, f["fold"].to_numpy()
-
-
-def _fold_moments(rows: DataFrame, d: int, m: int) -> dict[str, np.ndarray]:
-    """Per fold: row count, sums, squares and positives of every label."""
-    v = [F.count(F.lit(1)).cast("double")]
-    v += [F.sum(F.col("features")[i]) for i in range(d)] + [F.sum(F.col("features")[i] * F.col("features")[i]) for i in range(d)]
-    v += [F.sum(F.col("labels")[i]) for i in range(m)]
-    return {r["fold"]: np.array(r["v"]) for r in rows.groupBy("fold").agg(F.array(*v).alias("v")).collect()}
-
-
-def fit_many(rows: DataFrame, specs: Sequence[Spec], top_variance: int | None = None, steps: int = 25, tolerance: float = 1e-8) -> list[Fitted]:
-    """Class-balanced L2 logistic regressions, all fitted together by Newton's method.
-
-    ``rows`` holds ``features`` and ``labels`` (double arrays) and ``fold``. The
-    objective is 0.5 |w|^2 + C * weighted log loss with a free intercept.
-    """
-    rows = rows.select("features", "labels", "fold")
-    first = rows.select(F.size("features").alias("d"), F.size("labels").alias("m")).first()
-    d, m = first["d"], first["m"]
-    if len(specs) * (d + 2) ** 2 > MAX_STATE:
-        raise ValueError("too many models times features for one run; fit fewer models at a time")
-    folds = _fold_moments(rows, d, m)
-    fitted, weights = [], []
-    for s in specs:
-        t = sum(v for k, v in folds.items() if k not in s.exclude)
-        n, mean = t[0], t[1:d + 1] / t[0]
-        var = np.maximum(t[d + 1:2 * d + 1] / n - mean**2, 0.0)
-        keep = np.ones(d)
-        if top_variance is not None and top_variance < d:
-            keep = np.zeros(d)
-            keep[np.lexsort((np.arange(d), -var))[:top_variance]] = 1.0
-        scale = np.where(np.sqrt(var) > 1e-12, np.sqrt(var), 1.0)
-        pos = t[2 * d + 1 + s.label]
-        weights.append((n / (2.0 * max(n - pos, 1.0)), n / (2.0 * max(pos, 1.0))))
-        fitted.append(Fitted(s, np.zeros(d + 1), mean, scale, keep))
-
-    ridge = np.ones(d + 1)
-    ridge[-1] = 0.0
-    block = 1 + (d + 1) + (d + 1) ** 2
-
-    def objective_and_slopes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(len(fitted) * block)
-        for f in frames:
-            if not len(f):
-                continue
-            x, y, fold = _arrays(f)
-            for i, (g, (w0, w1)) in enumerate(zip(fitted, weights)):
-                use = ~np.isin(fold, g.spec.exclude)
-                if not use.any():
-                    continue
-                z = np.column_stack([(x[use] - g.mean) / g.scale * g.keep, np.ones(use.sum())])
-                t = y[use, g.spec.label]
-                w = np.where(t > 0.5, w1, w0) * g.spec.c
-                u = z @ g.coef
-                p = 1.0 / (1.0 + np.exp(-np.clip(u, -500, 500)))
-                loss = (w * (np.logaddexp(0, u) - t * u)).sum()
-                h = (z * (w * p * (1 - p))[:, None]).T @ z
-                acc[i * block:(i + 1) * block] += np.concatenate([[loss], z.T @ (w * (p - t)), h.ravel()])
-        yield pd.DataFrame({"sums": [acc]})
-
-    last: list[tuple[float, np.ndarray, np.ndarray] | None] = [None] * len(fitted)
-    for _ in range(steps):
-        sums = add_rows(rows.mapInPandas(objective_and_slopes, "sums array<double>"))
-        moved = 0.0
-        for i, g in enumerate(fitted):
-            s = sums[i * block:(i + 1) * block]
-            loss = s[0] + 0.5 * (ridge * g.coef**2).sum()
-            before = last[i]
-            if before is not None and loss > before[0] + 1e-9 * (1 + abs(before[0])):
-                last[i] = (before[0], before[1], before[2] / 2)  # the step was too long: go half as far
-                g.coef = before[1] - last[i][2]
-                moved = max(moved, float(np.abs(last[i][2]).max()))
-                continue
-            grad = s[1:d + 2] + ridge * g.coef
-            hess = s[d + 2:].reshape(d + 1, d + 1) + np.diag(ridge + 1e-10)
-            step = np.linalg.solve(hess, grad)
-            last[i] = (loss, g.coef.copy(), step)
-            g.coef = g.coef - step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < tolerance:
-            break
-    return fitted
-
 
 def score_many(rows: DataFrame, fitted: Sequence[Fitted], keys: Sequence[str]) -> DataFrame:
     """Probabilities of the rows in each model's scoring folds: (keys, fold, model, label, probability)."""
@@ -167,7 +33,7 @@ def score_many(rows: DataFrame, fitted: Sequence[Fitted], keys: Sequence[str]) -
         for f in frames:
             if not len(f):
                 continue
-            x, y, fold = _arrays(f)
+            (x, y), fold = arrays(f), f["fold"].to_numpy()
             for g in fitted:
                 use = np.isin(fold, g.spec.score)
                 if use.any():
@@ -186,55 +52,83 @@ def _name(*parts) -> str:
 def select_penalty(predictions: DataFrame) -> DataFrame:
     """Best C per task from inner validation: highest mean AUROC, ties to the smaller C.
 
-    ``model`` reads task|inner|C.
+    ``model`` reads task|inner|C. Inner folds without an AUROC have no say.
     """
     part = F.split("model", r"\|")
     rows = predictions.select(part[0].alias("task"), part[1].alias("inner"), part[2].cast("double").alias("c"), "label", "probability")
     auc = auroc_auprc(rows, ["task", "inner", "c"], "label", "probability")
-    mean = auc.groupBy("task", "c").agg(F.avg("auroc").alias("inner_auroc"))
+    mean = auc.groupBy("task", "c").agg(F.avg("auroc").alias("inner_auroc")).filter("inner_auroc IS NOT NULL")
     best = mean.groupBy("task").agg(F.max_by(F.struct("c", "inner_auroc"), F.struct(F.round("inner_auroc", 12), -F.col("c"))).alias("b"))
     return best.select("task", "b.c", "b.inner_auroc")
 
 
-def leave_one_cohort_out(rows: DataFrame, key: str, penalties: Sequence[float] = (0.01, 0.1, 1.0), top_variance: int | None = None) -> DataFrame:
-    """Nested leave-one-cohort-out predictions: the penalty of each outer round is chosen on the inner cohorts.
+def usable(moments: Moments, label: int, exclude: Sequence[str], inner: str) -> bool:
+    """Whether an inner round says anything: both classes among what it learns from, and among what it is tried on."""
+    return moments.both_classes(label, moments.training(exclude)) and moments.both_classes(label, np.array([moments.folds.index(inner)]))
 
-    ``rows`` holds ``key``, ``features``, ``labels`` (one entry) and ``fold`` (the cohort).
-    """
-    rows = materialize(rows, "rows")
-    cohorts = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
-    inner = [Spec(_name(o, i, c), 0, (o, i), (i,), c) for o in cohorts for i in cohorts if i != o for c in penalties]
-    outer = [Spec(_name(o, "-", c), 0, (o,), (o,), c) for o in cohorts for c in penalties]
-    fitted = fit_many(rows, [*inner, *outer], top_variance)
-    best = select_penalty(score_many(rows, fitted[:len(inner)], [key]))
-    final = score_many(rows, fitted[len(inner):], [key])
+
+def chosen(scored: DataFrame, best: DataFrame, tasks: Sequence[str], fallback: float) -> DataFrame:
+    """Scores of each task's best C; a task without a usable inner round has been fitted with the fallback alone."""
     part = F.split("model", r"\|")
-    final = final.withColumn("task", part[0]).withColumn("c", part[2].cast("double")).drop("model")
-    return final.join(best, ["task", "c"]).withColumnRenamed("task", "held_out").withColumnRenamed("c", "selected_c")
+    final = scored.withColumn("task", part[0]).withColumn("c", part[2].cast("double")).drop("model")
+    rest = final.sparkSession.createDataFrame([(t, fallback, None) for t in tasks], "task string, c double, inner_auroc double")
+    return final.join(best.union(rest), ["task", "c"])
+
 
+def leave_one_cohort_out(
+    rows: DataFrame, key: str, penalties: Sequence[float] = (0.01, 0.1, 1.0, 10.0), top_variance: int | None = None, fallback: float = 1.0,
+) -> DataFrame:
+    """Nested leave-one-cohort-out predictions: the penalty of each outer round is chosen on the inner cohorts.
 
-def term_probes(vectors: DataFrame, membership: DataFrame, terms: Sequence[str], folds: int = 3, penalties: Sequence[float] = (0.01, 0.1, 1.0), holdout_tenths: int = 3) -> DataFrame:
+    ``rows`` holds ``key``, ``features``, ``labels`` (one entry) and ``fold`` (the cohort). Inner rounds that learn from or
+    are tried on one class only are left out of the choice; where none is left, C is ``fallback``. An outer round whose
+    training rows have one class, or none, can't be fitted and has no predictions.
+    """
+    rows = materialize(rows, "rows")
+    moments = moments_by_fold(rows)
+    cohorts = moments.folds
+    outer = [o for o in cohorts if moments.both_classes(0, moments.training((o,)))]
+    inner = [Spec(_name(o, i, c), 0, (o, i), (i,), c) for o in outer for i in cohorts if i != o and usable(moments, 0, (o, i), i) for c in penalties]
+    tried = {s.exclude[0] for s in inner}
+    final = [Spec(_name(o, "-", c), 0, (o,), (o,), c) for o in outer for c in (penalties if o in tried else (fallback,))]
+    fitted = fit_many(rows, [*inner, *final], top_variance, moments=moments)
+    best = select_penalty(score_many(rows, fitted[: len(inner)], [key]))
+    out = chosen(score_many(rows, fitted[len(inner) :], [key]), best, [o for o in outer if o not in tried], fallback)
+    return out.withColumnRenamed("task", "held_out").withColumnRenamed("c", "selected_c")
+
+
+def term_probes(
+    vectors: DataFrame, membership: DataFrame, terms: Sequence[str] | None = None, folds: int = 3,
+    penalties: Sequence[float] = (0.1, 1.0, 10.0, 100.0, 1000.0), holdout_tenths: int = 3, fallback: float = 1.0,
+) -> DataFrame:
     """One linear probe per term: C by cross-validated AUROC, then metrics on held-out keys.
 
-    Keys are split by hash; the same split serves every term.
+    Keys are split by hash; the same split serves every term. Without ``terms`` all terms of ``membership`` are probed; those
+    without both classes among the training keys have no row.
     """
     from exprlake.operators.splits import hash_bucket
 
+    if terms is None:
+        terms = sorted(r["term"] for r in membership.select("term").distinct().collect() if r["term"] is not None)
     sets = membership.select("key", "term").distinct().groupBy("key").agg(F.collect_set("term").alias("t"))
-    flags = F.array(*[F.array_contains(F.coalesce("t", F.array().cast("array<string>")), t).cast("double") for t in terms])
+    flags = F.transform(F.split(F.lit("\u0001".join(terms)), "\u0001"), lambda t: F.array_contains(F.coalesce("t", F.array().cast("array<string>")), t).cast("double"))
     b = hash_bucket("key", 10)
     inner = F.pmod(F.xxhash64("key"), F.lit(folds)).cast("string")
     fold = F.when(b < holdout_tenths, "holdout").otherwise(F.concat(F.lit("cv"), inner))
     rows = vectors.join(sets, "key", "left").select("key", F.col("vec").cast("array<double>").alias("features"), flags.alias("labels"), fold.alias("fold"))
     rows = materialize(rows, "rows")
-    cv = [f"cv{i}" for i in range(folds)]
-    specs = [Spec(_name(t, f, c), j, (f, "holdout"), (f,), c) for j, t in enumerate(terms) for f in cv for c in penalties]
-    final = [Spec(_name(t, "-", c), j, ("holdout",), ("holdout",), c) for j, t in enumerate(terms) for c in penalties]
-    fitted = fit_many(rows, [*specs, *final])
-    best = select_penalty(score_many(rows, fitted[:len(specs)], ["key"]))
-    part = F.split("model", r"\|")
-    held = score_many(rows, fitted[len(specs):], ["key"]).select(part[0].alias("task"), part[2].cast("double").alias("c"), "key", "label", "probability")
-    out = auroc_auprc(held.join(best, ["task", "c"]), ["task", "c", "inner_auroc"], "label", "probability")
+    moments = moments_by_fold(rows)
+    cv = [f for f in moments.folds if f != "holdout"]
+    known = [j for j in range(len(terms)) if moments.both_classes(j, moments.training(("holdout",)))]
+    specs = [
+        Spec(_name(terms[j], f, c), j, (f, "holdout"), (f,), c) for j in known for f in cv if usable(moments, j, (f, "holdout"), f) for c in penalties
+    ]
+    tried = {s.label for s in specs}
+    final = [Spec(_name(terms[j], "-", c), j, ("holdout",), ("holdout",), c) for j in known for c in (penalties if j in tried else (fallback,))]
+    fitted = fit_many(rows, [*specs, *final], moments=moments)
+    best = select_penalty(score_many(rows, fitted[: len(specs)], ["key"]))
+    held = chosen(score_many(rows, fitted[len(specs) :], ["key"]), best, [terms[j] for j in known if j not in tried], fallback)
+    out = auroc_auprc(held, ["task", "c", "inner_auroc"], "label", "probability")
     return out.withColumnsRenamed({"task": "term", "c": "best_c", "inner_auroc": "cv_auroc"})
 
 
@@ -251,19 +145,26 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return known.join(weights, label)
 
 
-def out_of_fold(df: DataFrame, pipeline: Pipeline, label: str, folds: int, keep: Sequence[str], importances: bool = False):
+def out_of_fold(df: DataFrame, pipeline: Pipeline, label: str, folds: int, keep: Sequence[str], importances: bool = False, parallel: int = 4):
     """Fit a pipeline once per fold and score the fold left out; weights are balanced on training rows.
 
-    Returns predictions with ``probabilities`` and, if asked for, the importances per fold.
+    ``parallel`` folds are fitted at a time, since one fit alone leaves most of a cluster idle. Returns predictions with
+    ``probabilities`` and, if asked for, the importances per fold.
     """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.functions import vector_to_array
 
+    def one(f: int) -> tuple[DataFrame, Model]:
+        model = pipeline.fit(balanced_weights(df.filter(F.col("fold") != f), label))
+        return model.transform(df.filter(F.col("fold") == f)), model
+
+    with ThreadPool(min(parallel, folds)) as pool:
+        fitted = pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds))
     preds, imps = None, []
-    for f in range(folds):
-        train = balanced_weights(df.filter(F.col("fold") != f), label)
-        model = pipeline.fit(train)
-        out = model.transform(df.filter(F.col("fold") == f)).select(
-            *keep, label, "fold", vector_to_array("probability").alias("probabilities"), F.col("prediction").cast("double").alias("prediction"))
+    for out, model in fitted:
+        out = out.select(*keep, label, "fold", vector_to_array("probability").alias("probabilities"), F.col("prediction").cast("double").alias("prediction"))
         preds = out if preds is None else preds.unionByName(out)
         if importances:
             imps.append([float(v) for v in model.stages[-1].featureImportances.toArray()])

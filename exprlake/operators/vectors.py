@@ -470,7 +470,7 @@ def moments(pairs: DataFrame, x: str = "x", y: str = "y", max_width: int = 4096)
     Each task adds up its rows in NumPy and emits one row of partial sums; only
     (width x width) numbers, whatever the row count, reach the driver.
     """
-    from exprlake.operators.models import add_rows
+    from exprlake.operators.fitting import add_rows
 
     dx, dy = vector_width(pairs, x), vector_width(pairs, y)
     if max(dx, dy) > max_width:

@@ -118,16 +118,18 @@ def packed(spark, d):
 @query("ml01_leave_one_cohort_out")
 def ml01(spark, d):
     rows = packed(spark, d).select("sample_id", F.col("values").alias("features"), F.array(F.col("label").cast("double")).alias("labels"), F.col("cohort").alias("fold"))
-    out = mo.leave_one_cohort_out(rows, "sample_id", (0.01, 0.1, 1.0), top_variance=15)
+    out = mo.leave_one_cohort_out(rows, "sample_id", top_variance=1000)
     return rounded(out, "probability", "inner_auroc")
 
 
 @query("ml02_random_forest")
 def ml02(spark, d):
+    """Out-of-fold probabilities, each row with the importances of the forest that scored it."""
     rows = packed(spark, d).withColumn("features", array_to_vector("values"))
-    rows = mo.materialize(sp.stratified_group_kfold(rows.drop("values"), "group_id", "label", 3, 4), "folds")
-    preds, imps = mo.out_of_fold(rows, mo.random_forest("features", "label", trees=30), "label", 3, ["sample_id"], importances=True)
-    return preds.select("sample_id", "label", "fold", F.col("probabilities")[1].alias("probability"), F.lit(imps[0][0]).alias("first_importance"))
+    rows = mo.materialize(sp.stratified_group_kfold(rows.drop("values"), "group_id", "label", 5, 4), "folds")
+    preds, imps = mo.out_of_fold(rows, mo.random_forest("features", "label"), "label", 5, ["sample_id"], importances=True)
+    of_fold = F.array(*[F.array(*[F.lit(v) for v in i]) for i in imps])[F.col("fold")]
+    return preds.select("sample_id", "label", "fold", F.col("probabilities")[1].alias("probability"), of_fold.alias("importances"))
 
 
 @query("ml03_pca_multinomial")
@@ -140,8 +142,7 @@ def ml03(spark, d):
 
 @query("ml04_term_probes")
 def ml04(spark, d):
-    terms = [f"T{i}" for i in range(8)]
-    return rounded(mo.term_probes(vectors(spark, d).select("key", "vec"), vector_terms(spark, d), terms, 3, (0.01, 0.1)), "auroc", "auprc", "cv_auroc")
+    return rounded(mo.term_probes(vectors(spark, d).select("key", "vec"), vector_terms(spark, d)), "auroc", "auprc", "cv_auroc")
 
 
 @query("ml05_edge_classifier")
