@@ -21,6 +21,7 @@ from exprlake.operators.joins import pair_vectors, top_feature_overlap
 from exprlake.operators.metrics import auroc_auprc
 from exprlake.operators.normalize import spearman_columns
 from exprlake.operators.ordering import cumulative, draw_position, exact_percentile, keyed_position, same_key, top_k
+from exprlake.operators.tiles import Chunks, assembled, chunks, cka, column_products, loadings, row_bases, stacked, tiles, wide
 from exprlake.session import materialize
 
 BLOCK_ROWS = 2048
@@ -464,8 +465,12 @@ class Moments:
         self.xy = xy - n * np.outer(self.mx, self.my)
 
 
-def moments(pairs: DataFrame, x: str = "x", y: str = "y", max_width: int = 4096) -> Moments:
-    """Centred cross-products of two vector columns.
+#: Width up to which a task adds up whole cross-products; those of wider vectors are made by tiles.
+NARROW = 1024
+
+
+def moments(pairs: DataFrame, x: str = "x", y: str = "y") -> Moments:
+    """Centred cross-products of two narrow vector columns.
 
     Each task adds up its rows in NumPy and emits one row of partial sums; only
     (width x width) numbers, whatever the row count, reach the driver.
@@ -473,8 +478,6 @@ def moments(pairs: DataFrame, x: str = "x", y: str = "y", max_width: int = 4096)
     from exprlake.operators.fitting import add_rows
 
     dx, dy = vector_width(pairs, x), vector_width(pairs, y)
-    if max(dx, dy) > max_width:
-        raise ValueError(f"vectors wider than {max_width} are not supported")
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = None
@@ -500,44 +503,62 @@ def shared_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def linear_cka(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Linear centred kernel alignment over shared keys."""
-    m = moments(shared_pairs(a, b))
-    cka = float((m.xy**2).sum() / np.sqrt((m.xx**2).sum() * (m.yy**2).sum()))
-    return a.sparkSession.createDataFrame([(m.n, cka)], "shared bigint, linear_cka double")
-
-
-def _literal(matrix: np.ndarray) -> Column:
-    return F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in matrix])
-
-
-def _project(vec: Column, mean: np.ndarray, matrix: np.ndarray) -> Column:
-    """(vec - mean) @ matrix, with the small matrix as a literal."""
-    shifted = F.zip_with(as_double(vec), F.array(*[F.lit(float(v)) for v in mean]), lambda x, m: x - m)
-    return F.transform(_literal(matrix.T), lambda col: F.aggregate(F.zip_with(shifted, col, lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x))
+    """Linear centred kernel alignment over shared keys; of wide vectors from tiles that never leave Spark."""
+    pairs = shared_pairs(a, b)
+    if wide(pairs, ["x", "y"], NARROW):
+        found = chunks(pairs, ["x", "y"])
+        return a.sparkSession.createDataFrame([(found.n, float(cka(found)))], "shared bigint, linear_cka double")
+    m = moments(pairs)
+    alignment = float((m.xy**2).sum() / np.sqrt((m.xx**2).sum() * (m.yy**2).sum()))
+    return a.sparkSession.createDataFrame([(m.n, alignment)], "shared bigint, linear_cka double")
 
 
 def procrustes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Cosine of each key after rotating ``a`` onto ``b``: mean, exact median, and the nuclear norm."""
+    """Cosine of each key after rotating ``a`` onto ``b``: mean, exact median, and the nuclear norm.
+
+    Vectors wider than there are keys are turned in the space of the keys, which gives the same cosines.
+    """
     pairs = shared_pairs(a, b)
-    m = moments(pairs)
-    u, s, vt = np.linalg.svd(m.xy, full_matrices=False)
-    rotation, mx, my = u @ vt, m.mx, m.my
+    if not wide(pairs, ["x", "y"], NARROW):
+        m = moments(pairs)
+        xy, mx, my = m.xy, m.mx, m.my
+    else:
+        found = chunks(pairs, ["x", "y"])
+        if found.n <= max(len(m) for m in found.means):
+            return _turned_keys(pairs, found)
+        split = found.firsts[1]
+        xy, (mx, my) = assembled(tiles(found.table, found.widths, split), found.widths[:split], found.widths[split:], split), found.means
+    u, s, vt = np.linalg.svd(xy, full_matrices=False)
+    rotation = a.sparkSession.sparkContext.broadcast(u @ vt)
 
     def cosines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
                 continue
-            p = (np.stack([np.asarray(v, dtype=float) for v in f["x"]]) - mx) @ rotation
+            p = (np.stack([np.asarray(v, dtype=float) for v in f["x"]]) - mx) @ rotation.value
             q = np.stack([np.asarray(v, dtype=float) for v in f["y"]]) - my
             den = np.maximum(np.linalg.norm(p, axis=1), 1e-12) * np.maximum(np.linalg.norm(q, axis=1), 1e-12)
             yield pd.DataFrame({"key": f["key"], "cosine": (p * q).sum(1) / den})
 
     kind = pairs.schema["key"].dataType.simpleString()
-    cos = pairs.mapInPandas(cosines, f"key {kind}, cosine double")
+    return _cosine_summary(pairs.mapInPandas(cosines, f"key {kind}, cosine double"), float(s.sum()))
+
+
+def _turned_keys(pairs: DataFrame, found: Chunks) -> DataFrame:
+    """Procrustes of few keys: with X = U S V' the rotation, seen from the keys, is the one of S U' onto its counterpart."""
+    (ux, sx), (uy, sy) = row_bases(found)
+    p, s, qt = np.linalg.svd((ux * sx).T @ (uy * sy), full_matrices=False)
+    left, right = (ux * sx) @ p @ qt, uy * sy
+    den = np.maximum(np.linalg.norm(left, axis=1), 1e-12) * np.maximum(np.linalg.norm(right, axis=1), 1e-12)
+    cos = pairs.sparkSession.createDataFrame(pd.DataFrame({"cosine": (left * right).sum(1) / den}))
+    return _cosine_summary(cos, float(s.sum()))
+
+
+def _cosine_summary(cos: DataFrame, nuclear: float) -> DataFrame:
     cos = materialize(cos.withColumn("_one", F.lit(1)), "cosines")
     mean = cos.groupBy("_one").agg(F.avg("cosine").alias("mean_cosine"), F.count(F.lit(1)).alias("shared"))
     med = exact_percentile(cos, ["_one"], "cosine", {"median_cosine": 0.5})
-    return mean.join(med, "_one").drop("_one").withColumn("nuclear_norm", F.lit(float(s.sum())))
+    return mean.join(med, "_one").drop("_one").withColumn("nuclear_norm", F.lit(nuclear))
 
 
 def neighbour_overlap(a: DataFrame, b: DataFrame, k: int = 10, queries: int | None = None, seed: int = 0) -> DataFrame:
@@ -560,19 +581,28 @@ def neighbour_overlap(a: DataFrame, b: DataFrame, k: int = 10, queries: int | No
 def pca(df: DataFrame, k: int, vec: str = "vec") -> tuple[DataFrame, list[float]]:
     """Principal components of centred vectors: (key, coordinates) and the explained variance ratios.
 
-    Fitted by MLlib. Each component's sign is fixed so that its largest loading is positive.
+    From the products of the columns or of the rows, whichever are fewer, added up by tiles. Each component's sign is fixed so
+    that its largest loading is positive.
     """
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    ready = df.select("key", F.col(vec).alias("x"))
+    found = chunks(ready, ["x"])
+    mean = found.means[0]
+    if found.n < len(mean):
+        ((u, s),) = row_bases(found)
+        total, values, load = (s**2).sum(), s[:k] ** 2, loadings(found, u[:, :k]) / s[:k]
+    else:
+        w, v = np.linalg.eigh(column_products(found)[0])
+        total, values, load = w.sum(), w[::-1][:k], v[:, ::-1][:, :k]
+    load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
+    kind = df.schema["key"].dataType.simpleString()
+    held = df.sparkSession.sparkContext.broadcast(load)
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"key": f["key"], "vec": list((stacked(f["x"]) - mean) @ held.value)})
 
-    ready = df.select("key", array_to_vector(as_double(vec)).alias("features"))
-    model = PCA(k=k, inputCol="features", outputCol="pc").fit(ready)
-    load = np.array(model.pc.toArray())
-    load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(k)])
-    width = load.shape[0]
-    mean = df.agg(F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(width)]).alias("m")).first()["m"]
-    coords = df.select("key", _project(F.col(vec), np.array(mean), load).alias("vec"))
-    return coords, [float(x) for x in model.explainedVariance]
+    return ready.mapInPandas(project, f"key {kind}, vec array<double>"), [float(x) for x in values / total]
 
 
 def model_similarity(pairs: DataFrame, vectors: DataFrame, models: Sequence[str]) -> DataFrame:
@@ -590,13 +620,27 @@ def model_similarity(pairs: DataFrame, vectors: DataFrame, models: Sequence[str]
 
 
 def mean_cca(a: DataFrame, b: DataFrame, floor: float = 1e-9) -> DataFrame:
-    """Mean canonical correlation of two embeddings, from their covariance blocks."""
-    m = moments(shared_pairs(a, b))
+    """Mean canonical correlation of two embeddings, from their covariance blocks.
+
+    Of vectors wider than there are keys, from the bases of the keys that both span.
+    """
+    pairs = shared_pairs(a, b)
+    if wide(pairs, ["x", "y"], NARROW):
+        found = chunks(pairs, ["x", "y"])
+        n = found.n
+        if n <= max(len(m) for m in found.means):
+            (ux, _), (uy, _) = row_bases(found, floor)
+            s = np.linalg.svd(ux.T @ uy, compute_uv=False)
+            return a.sparkSession.createDataFrame([(n, float(np.clip(s, 0, 1).mean()))], "shared bigint, mean_cca double")
+        xx, yy, xy = column_products(found)
+    else:
+        m = moments(pairs)
+        n, xx, yy, xy = m.n, m.xx, m.yy, m.xy
 
     def inverse_root(c: np.ndarray) -> np.ndarray:
         w, v = np.linalg.eigh(c)
         keep = w > floor * w.max()
         return v[:, keep] / np.sqrt(w[keep])
 
-    s = np.linalg.svd(inverse_root(m.xx).T @ m.xy @ inverse_root(m.yy), compute_uv=False)
-    return a.sparkSession.createDataFrame([(m.n, float(np.clip(s, 0, 1).mean()))], "shared bigint, mean_cca double")
+    s = np.linalg.svd(inverse_root(xx).T @ xy @ inverse_root(yy), compute_uv=False)
+    return a.sparkSession.createDataFrame([(n, float(np.clip(s, 0, 1).mean()))], "shared bigint, mean_cca double")
