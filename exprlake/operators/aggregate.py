@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprlake.functions.columns import safe_div
-from exprlake.functions.vectors import vector_mean, vector_sum, vector_width
 from exprlake.operators.ordering import exact_percentile, same_key, top_k
 from exprlake.operators.normalize import log1p_cpm
+from exprlake.operators.sums import means, vector_sums
 
 
 def group_means(df: DataFrame, groups: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -82,25 +82,21 @@ def column_profile(df: DataFrame, max_distinct: int = 100) -> DataFrame:
 
 
 def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str = "vec", width: int | None = None) -> DataFrame:
-    """Element-wise mean per key in double precision."""
-    width = width or vector_width(df, vec)
-    return df.groupBy(*keys).agg(vector_mean(vec, width).alias("vec"), F.count(F.lit(1)).alias("n"))
+    """Element-wise mean per key in double precision, of vectors of any width."""
+    return vector_sums(df, keys, vec).select(*keys, means().alias("vec"), F.col("count").alias("n"))
 
 
 def vector_state(df: DataFrame, keys: Sequence[str], vec: str = "vec", width: int | None = None) -> DataFrame:
-    """Mergeable state of a running mean: element-wise sum and count per key."""
-    width = width or vector_width(df, vec)
-    return df.groupBy(*keys).agg(vector_sum(vec, width).alias("sum"), F.count(F.lit(1)).alias("count"))
+    """Mergeable state of a running mean: element-wise sum, count, and missing elements per key."""
+    return vector_sums(df, keys, vec)
 
 
 def merge_states(states: DataFrame, keys: Sequence[str], width: int | None = None) -> DataFrame:
-    width = width or vector_width(states, "sum")
-    return states.groupBy(*keys).agg(vector_sum("sum", width).alias("sum"), F.sum("count").alias("count"))
+    return vector_sums(states, keys, merge=True)
 
 
 def finish_state(state: DataFrame) -> DataFrame:
-    mean = F.zip_with("sum", F.array_repeat("count", F.size("sum")), lambda s, n: s / n)
-    return state.withColumn("vec", mean)
+    return state.withColumn("vec", means())
 
 
 def group_centroids(df: DataFrame, members: DataFrame, group: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exprlake.functions.columns import safe_div
-from exprlake.functions.vectors import vector_mean, vector_width
 from exprlake.operators.ordering import top_k
+from exprlake.operators.sums import means, vector_sums
 
 
 class CardinalityError(ValueError):
@@ -74,9 +74,8 @@ def many_to_many_orthologs(homology: DataFrame, left: str, right: str) -> DataFr
 
 def map_and_average(vectors: DataFrame, idmap: DataFrame, width: int | None = None) -> DataFrame:
     """Vectors renamed through (src, dst); several sources of one target are averaged."""
-    width = width or vector_width(vectors, "vec")
     mapped = vectors.join(idmap, F.col("key") == F.col("src")).select(F.col("dst").alias("key"), "vec")
-    return mapped.groupBy("key").agg(vector_mean("vec", width).alias("vec"), F.count(F.lit(1)).alias("sources"))
+    return vector_sums(mapped, ["key"]).select("key", means().alias("vec"), F.col("count").alias("sources"))
 
 
 def keep_universe(df: DataFrame, universe: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from exprlake.operators.fitting import Fitted, Moments, Spec, arrays, fit_many, moments_by_fold
 from exprlake.operators.metrics import auroc_auprc
+from exprlake.operators.tiles import column_moments
 from exprlake.session import materialize
 
 
@@ -216,13 +217,10 @@ class TopVarianceSelector(Estimator, _TopVarianceParams):
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> "TopVarianceModel":
-        from exprlake.functions.vectors import vector_width
-
         col = self.getOrDefault(self.inputCol)
-        d = vector_width(dataset, col)
-        var = dataset.agg(F.array(*[F.var_pop(F.col(col)[i].cast("double")) for i in range(d)]).alias("v")).first()["v"]
-        score = np.array([-np.inf if v is None else v for v in var])
-        best = np.sort(np.lexsort((np.arange(d), -score))[: self.getOrDefault(self.k)])
+        n, _, (square,) = column_moments(dataset.filter(F.col(col).isNotNull()), [col])
+        score = np.where(np.isfinite(square), square / max(n, 1), -np.inf)
+        best = np.sort(np.lexsort((np.arange(len(score)), -score))[: self.getOrDefault(self.k)])
         return TopVarianceModel([int(i) for i in best], col, self.getOrDefault(self.outputCol))
 
 
@@ -234,4 +232,5 @@ class TopVarianceModel(Model, _TopVarianceParams):
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         col = self.getOrDefault(self.inputCol)
-        return dataset.withColumn(self.getOrDefault(self.outputCol), F.array(*[F.col(col)[i] for i in self.indices]))
+        at = F.split(F.lit(",".join(map(str, self.indices))), ",")
+        return dataset.withColumn(self.getOrDefault(self.outputCol), F.transform(at, lambda i: F.get(F.col(col), i.cast("int"))))
