@@ -22,8 +22,8 @@ from exprlake.session import materialize
 MERGE_TASKS = 8
 #: Numbers that the models of a batch hold on the driver together.
 MAX_STATE = 20_000_000
-#: Kept columns up to which a model's curvature is summed.
-NEWTON_WIDTH = 32
+#: Kept columns up to which a model's curvature is summed, and the part of the state that the sums of a task may fill.
+NEWTON_WIDTH, NEWTON_SHARE = 64, 0.1
 BLOCK_BYTES = 8 << 20
 #: Earlier steps that L-BFGS remembers.
 MEMORY = 10
@@ -266,19 +266,20 @@ class Batch:
 
 
 def newton(batch: Batch, blocks: tuple[DataFrame, bool], steps: int, tolerance: float) -> None:
+    """Newton's method for all models at once; those that have arrived leave the passes."""
     last: list[tuple[float, np.ndarray, np.ndarray] | None] = [None] * len(batch.models)
+    open_ = list(range(len(batch.models)))
     for _ in range(steps):
-        moved = 0.0
-        for i, (g, (loss, grad, curvature)) in enumerate(zip(batch.models, batch.curvatures(blocks), strict=True)):
-            before = last[i]
+        for i, (loss, grad, curvature) in zip(open_, batch.of(open_).curvatures(blocks), strict=True):
+            g, before = batch.models[i], last[i]
             if before is not None and loss > before[0] + 1e-9 * (1 + abs(before[0])):
                 last[i] = (before[0], before[1], before[2] / 2)  # the step was too long: go half as far
                 g.coef = before[1] - last[i][2]
             else:
                 last[i] = (loss, g.coef.copy(), np.linalg.solve(curvature, grad))
                 g.coef = g.coef - last[i][2]
-            moved = max(moved, float(np.abs(last[i][2]).max()))
-        if moved < tolerance:
+        open_ = [i for i in open_ if np.abs(last[i][2]).max() >= tolerance]
+        if not open_:
             break
 
 
@@ -352,7 +353,7 @@ def fit_many(
     blocks = packed(rows, columns, moments.folds)
     narrow = len(fitted[0].columns) <= NEWTON_WIDTH
     state = (len(fitted[0].coef) + 1) ** 2 if narrow else len(columns) + (2 * MEMORY + 6) * len(fitted[0].coef)
-    size = max(1, MAX_STATE // state)
+    size = max(1, int(MAX_STATE * (NEWTON_SHARE if narrow else 1)) // state)
     for i in range(0, len(fitted), size):
         batch = Batch(fitted[i : i + size], moments, columns)
         if narrow:

@@ -78,10 +78,42 @@ def random_effects(df: DataFrame, groups: Sequence[str], effect: str = "hedges_g
     )
 
 
-def mann_whitney(df: DataFrame, groups: Sequence[str], label: str, value: str) -> DataFrame:
-    """Two-sided Mann-Whitney U: normal approximation with tie and continuity correction.
+#: Rows of the smaller arm up to which the distribution of U is worked out exactly.
+EXACT_ARM = 8
+
 
-    The exact small-sample method is not offered.
+def exact_u_p(smaller: int, larger: int, u: int) -> float:
+    """Two-sided p-value of U without ties: twice the share of arrangements with a U of at most ``u``, the smaller of both U.
+
+    The arrangements with U = k are the partitions of k into at most ``smaller`` parts of at most ``larger``, whose
+    generating function is a product of (1 - q^(larger + i)) / (1 - q^i). In whole numbers, so nothing is rounded.
+    """
+    ways = [1] + [0] * u
+    for i in range(1, smaller + 1):
+        for k in range(u, larger + i - 1, -1):
+            ways[k] -= ways[k - larger - i]
+        for k in range(i, u + 1):
+            ways[k] += ways[k - i]
+    return min(1.0, 2 * sum(ways) / math.comb(smaller + larger, smaller))
+
+
+def _exact_p(n1: pd.Series, n0: pd.Series, u: pd.Series) -> pd.Series:
+    found: dict[tuple[int, int, int], float] = {}
+    out = []
+    for a, b, x in zip(n1, n0, u, strict=True):
+        if min(a, b) > EXACT_ARM:  # both sides of a conditional expression are worked out
+            out.append(None)
+            continue
+        key = int(min(a, b)), int(max(a, b)), round(min(x, a * b - x))
+        if key not in found:
+            found[key] = exact_u_p(*key)
+        out.append(found[key])
+    return pd.Series(out, dtype=float)
+
+
+def mann_whitney(df: DataFrame, groups: Sequence[str], label: str, value: str) -> DataFrame:
+    """Two-sided Mann-Whitney U: exact for an arm of at most ``EXACT_ARM`` rows without ties, else the normal approximation
+    with tie and continuity correction.
     """
     t = cumulative(df.filter(F.col(label).isNotNull()), groups, value, {"pos": F.col(label)})
     n = F.col("n").cast("double")
@@ -94,7 +126,9 @@ def mann_whitney(df: DataFrame, groups: Sequence[str], label: str, value: str) -
     sigma = F.sqrt(pairs / 12.0 * ((F.col("_n") + 1) - F.col("_t") / F.greatest(F.col("_n") * (F.col("_n") - 1), F.lit(1.0))))
     z = (F.greatest(F.col("u"), pairs - F.col("u")) - pairs / 2.0 - 0.5) / F.when(sigma > 0, sigma)
     s = s.withColumn("auc", F.col("u") / pairs).withColumn("z", F.greatest(z, F.lit(0.0)))
-    s = s.withColumn("p_value", F.coalesce(normal_p("z"), F.lit(1.0)))
+    small = (F.least("n1", "n0") <= EXACT_ARM) & (F.col("_t") == 0)
+    exact = F.pandas_udf(_exact_p, DoubleType())("n1", "n0", "u")
+    s = s.withColumn("p_value", F.when(small, exact).otherwise(F.coalesce(normal_p("z"), F.lit(1.0))))
     return s.select(*groups, F.col("n1").cast("bigint").alias("n1"), F.col("n0").cast("bigint").alias("n0"), "u", "auc", "p_value")
 
 

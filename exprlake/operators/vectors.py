@@ -388,14 +388,66 @@ def sample_pairs(membership: DataFrame, n_pairs: int, seed: int, attempts: int =
         neg.orderBy("i").limit(n).select("a", "b", F.lit(0).alias("label")))
 
 
+#: Features and samples of a block of ranks.
+FEATURES, SAMPLES = 256, 2048
+#: Pairs that are multiplied together.
+PAIRS = 2048
+
+
 def coexpression(df: DataFrame, edges: DataFrame) -> DataFrame:
-    """Spearman correlation of the listed feature pairs only; a missing cell counts as the feature's mean."""
-    z = materialize(spearman_columns(df).select("sample_id", "feature", "value"), "ranks")
-    a = z.select(F.col("feature").alias("a"), "sample_id", F.col("value").alias("_x"))
-    b = z.select(F.col("feature").alias("b"), "sample_id", F.col("value").alias("_y"))
-    j = edges.join(a, "a").join(b, ["b", "sample_id"])
-    out = j.groupBy(*edges.columns).agg(F.sum(F.col("_x") * F.col("_y")).alias("correlation"))
-    return out.withColumn("abs_correlation", F.abs("correlation"))
+    """Spearman correlation of the listed feature pairs only; a missing cell counts as the feature's mean.
+
+    Ranks are packed into blocks of features by samples and dealt to the blocks of pairs; a pair costs one product of two
+    rows per block of samples, however many pairs its features are in. Pairs without a common sample have no row.
+    """
+    return _listed_products(materialize(spearman_columns(df).select("sample_id", "feature", "value"), "ranks"), edges)
+
+
+def _listed_products(cells: DataFrame, edges: DataFrame) -> DataFrame:
+    sizes = cells.agg(F.count_distinct("feature").alias("f"), F.count_distinct("sample_id").alias("s")).first()
+    n_features, n_samples = (max(1, -(-sizes[c] // limit)) for c, limit in (("f", FEATURES), ("s", SAMPLES)))
+
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    names = cells.schema["feature"].dataType.simpleString()
+    packed_schema = f"fb int, sb int, names array<{names}>, samples array<bigint>, data binary"
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        features, row = np.unique(frame["feature"].to_numpy(), return_inverse=True)
+        samples, column = np.unique(frame["at"].to_numpy(np.int64), return_inverse=True)
+        data = np.full((len(features), len(samples)), np.nan)
+        data[row, column] = frame["value"]
+        return pd.DataFrame({"fb": [key[0]], "sb": [key[1]], "names": [list(features)], "samples": [samples], "data": [data.tobytes()]})
+
+    placed = cells.select(block("feature", n_features).alias("fb"), block("sample_id", n_samples).alias("sb"), "feature", F.xxhash64("sample_id").alias("at"), "value")
+    blocks = materialize(placed.groupBy("fb", "sb").applyInPandas(pack, packed_schema), "rank-blocks")
+
+    keys = ["i", "j"]
+    listed = edges.select("a", "b").distinct().withColumns({"i": block("a", n_features), "j": block("b", n_features)})
+    listed = listed.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(max(1, listed.count() // 1_000_000))).cast("int"))
+    listed = materialize(listed.groupBy(*keys, "part").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "listed-pairs")
+    met = listed.join(blocks.withColumnsRenamed({"fb": "i", "names": "an", "samples": "as", "data": "ad"}), "i")
+    met = met.join(blocks.withColumnsRenamed({"fb": "j", "names": "bn", "samples": "bs", "data": "bd"}), ["j", "sb"]).select("a", "b", "an", "as", "ad", "bn", "bs", "bd")
+
+    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a, b, an, as_, ad, bn, bs, bd in f.itertuples(index=False):
+                x, y = np.frombuffer(ad).reshape(len(an), -1), np.frombuffer(bd).reshape(len(bn), -1)
+                _, left, right = np.intersect1d(as_, bs, assume_unique=True, return_indices=True)
+                x, y = x[:, left], y[:, right]
+                rows = [{name: n for n, name in enumerate(names_)} for names_ in (an, bn)]
+                known = [(p, q) for p, q in zip(a, b, strict=True) if p in rows[0] and q in rows[1]]
+                for start in range(0, len(known), PAIRS):
+                    some = known[start : start + PAIRS]
+                    products = x[[rows[0][p] for p, _ in some]] * y[[rows[1][q] for _, q in some]]
+                    common = (~np.isnan(products)).any(axis=1)
+                    sums = np.nansum(products, axis=1)
+                    yield pd.DataFrame({"a": [p for p, _ in some], "b": [q for _, q in some], "s": sums})[common]
+
+    parts = met.mapInPandas(multiply, f"a {names}, b {names}, s double")
+    out = edges.distinct().join(parts.groupBy("a", "b").agg(F.sum("s").alias("correlation")), ["a", "b"])
+    return out.select(*edges.columns, "correlation", F.abs("correlation").alias("abs_correlation"))
 
 
 def set_scores(df: DataFrame, membership: DataFrame) -> DataFrame:

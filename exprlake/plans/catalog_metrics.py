@@ -9,7 +9,7 @@ from exprlake.operators import metrics as mt
 from exprlake.plans.catalog_ranking import EFFECTS
 from exprlake.plans.inputs import (
     LOGCPM, MEASUREMENT, PREDICTIONS, SAMPLE_META, SCORES, VECTORS, R, counts, log_cpm, predictions, rounded,
-    sample_meta, scores, table, vectors,
+    newton_line, sample_meta, scores, table, vectors,
 )
 from exprlake.plans.registry import query
 
@@ -122,7 +122,7 @@ def met09(spark, d):
     return rounded(mt.precision_at(predictions(spark, d), ["method", "source"], "label", "score", "doc_id"), "precision_at_k")
 
 
-@query("met10_calibration")
+@query("met10_calibration", f"""WITH RECURSIVE {PREDICTIONS}, {newton_line('true', True)} SELECT method, {R('a')} AS intercept, {R('b')} AS slope FROM line WHERE i = 25""")
 def met10(spark, d):
     from exprlake.operators.stats import fit_logit_line
 

@@ -6,7 +6,7 @@ from exprlake.operators import stats as st
 from exprlake.plans.catalog_metrics import auc_cte
 from exprlake.plans.catalog_ranking import EFFECTS, effects
 from exprlake.plans.inputs import (
-    LOGCPM, MEASUREMENT, PREDICTIONS, SAMPLE_META, R, counts, log_cpm, predictions, rounded, sample_meta, table,
+    LOGCPM, LOGIT, MEASUREMENT, PREDICTIONS, SAMPLE_META, R, counts, log_cpm, newton_line, predictions, rounded, sample_meta, table,
 )
 from exprlake.plans.registry import query
 
@@ -58,7 +58,14 @@ b AS (SELECT feature, cohort, value, count(*)::DOUBLE AS t, sum(label) AS y FROM
 c AS (SELECT *, sum(t) OVER (PARTITION BY feature, cohort ORDER BY value) - t AS tb FROM b),
 u0 AS (SELECT feature, cohort, sum(y)::DOUBLE AS n1, sum(t) - sum(y) AS n0, sum(t) AS n, sum(y * (tb + (t + 1) / 2)) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE AS u, sum(t * t * t - t) AS ties FROM c GROUP BY 1, 2),
 u1 AS (SELECT *, greatest((greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / nullif(sqrt(n1 * n0 / 12 * ((n + 1) - ties / greatest(n * (n - 1), 1))), 0), 0) AS z FROM u0 WHERE n1 > 0 AND n0 > 0),
-mwu AS (SELECT feature, cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, u, u / (n1 * n0) AS auc, coalesce({P('z')}, 1) AS p_value FROM u1)"""
+few AS (SELECT *, least(n1, n0)::INTEGER AS k, least(u, n1 * n0 - u) AS low FROM u1 WHERE least(n1, n0) <= 8 AND ties = 0),
+subsets AS (SELECT 0 AS j, 0 AS k, 0 AS s, 1::DOUBLE AS ways UNION ALL
+  SELECT j + 1, kk, ss, sum(ways) FROM (SELECT j, k AS kk, s AS ss, ways FROM subsets UNION ALL SELECT j, k + 1, s + j + 1, ways FROM subsets WHERE k < 8)
+  WHERE j < (SELECT coalesce(max(n), 0) FROM few) GROUP BY 1, 2, 3),
+exact AS (SELECT feature, cohort, least(1, 2 * sum(ways) FILTER (WHERE s - subsets.k * (subsets.k + 1) / 2 <= low) / sum(ways)) AS p
+  FROM few JOIN subsets ON subsets.j = few.n AND subsets.k = few.k GROUP BY 1, 2),
+mwu AS (SELECT u1.feature, u1.cohort, n1::BIGINT AS n1, n0::BIGINT AS n0, u, u / (n1 * n0) AS auc, coalesce(exact.p, {P('z')}, 1) AS p_value
+  FROM u1 LEFT JOIN exact ON u1.feature = exact.feature AND u1.cohort = exact.cohort)"""
 
 
 def mwu(spark, d):
@@ -68,12 +75,12 @@ def mwu(spark, d):
     return st.mann_whitney(v, ["feature", "cohort"], "label", "value")
 
 
-@query("sta03_mann_whitney", f"""WITH {MWU} SELECT feature, cohort, n1, n0, u, {R('auc')} AS auc, {R('p_value')} AS p_value FROM mwu""")
+@query("sta03_mann_whitney", f"""WITH RECURSIVE {MWU} SELECT feature, cohort, n1, n0, u, {R('auc')} AS auc, {R('p_value')} AS p_value FROM mwu""")
 def sta03(spark, d):
     return rounded(mwu(spark, d), "auc", "p_value")
 
 
-@query("sta04_benjamini_hochberg", f"""WITH {MWU}, r AS (SELECT *, p_value * count(*) OVER (PARTITION BY cohort) / row_number() OVER (PARTITION BY cohort ORDER BY p_value) AS c, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value) AS g FROM mwu)
+@query("sta04_benjamini_hochberg", f"""WITH RECURSIVE {MWU}, r AS (SELECT *, p_value * count(*) OVER (PARTITION BY cohort) / row_number() OVER (PARTITION BY cohort ORDER BY p_value) AS c, p_value * count(*) OVER () / row_number() OVER (ORDER BY p_value) AS g FROM mwu)
 SELECT feature, cohort, {R('p_value')} AS p_value, {R('least(min(c) OVER (PARTITION BY cohort ORDER BY p_value DESC), 1)')} AS q_within, {R('least(min(g) OVER (ORDER BY p_value DESC), 1)')} AS q_global FROM r""")
 def sta04(spark, d):
     q = st.benjamini_hochberg(mwu(spark, d), ["cohort"], "p_value", "q_within")
@@ -149,7 +156,8 @@ def sta09(spark, d):
     return rounded(table(spark, d, "customer").select(F.col("c_custkey").alias("sample_id"), st.normal_p(F.col("c_acctbal") / 2000).alias("p_value")), "p_value")
 
 
-@query("sta10_recalibrate")
+@query("sta10_recalibrate", f"""WITH RECURSIVE {PREDICTIONS}, {newton_line("cohort <> 'en'", False)} SELECT p.method, doc_id, label, {R('score')} AS score, {R('a')} AS "offset", {R(f'1 / (1 + exp(-({LOGIT} + a)))')} AS calibrated
+FROM predictions p JOIN line ON p.method = line.method WHERE i = 25 AND cohort = 'en'""")
 def sta10(spark, d):
     p = predictions(spark, d)
     test = p.filter("cohort = 'en'")

@@ -130,14 +130,14 @@ def vector_terms(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping term sets over vector keys: term i holds the keys with component i above 0.1."""
     return (
         vectors(spark, d)
-        .select("key", F.posexplode(F.slice("vec", 1, 8)))
+        .select("key", F.posexplode("vec"))
         .filter(F.col("col") > 0.1)
         .select(F.concat(F.lit("T"), F.col("pos").cast("string")).alias("term"), "key")
     )
 
 
 VECTOR_TERMS = """vector_terms AS (
-  SELECT 'T' || CAST(i AS VARCHAR) AS term, key FROM vectors, unnest(range(0, 8)) AS u(i) WHERE CAST(vec[i + 1] AS FLOAT) > 0.1)"""
+  SELECT 'T' || CAST(i AS VARCHAR) AS term, key FROM vectors, unnest(range(0, 64)) AS u(i) WHERE CAST(vec[i + 1] AS FLOAT) > 0.1)"""
 
 
 # edges --------------------------------------------------------------------------------------
@@ -186,6 +186,21 @@ predictions AS (
   UNION ALL SELECT doc_id, cohort, source, label, toxic, 'lines', lines FROM pred_base)"""
 
 
+LOGIT = "ln(least(greatest(score, 1e-5), 1 - 1e-5) / (1 - least(greatest(score, 1e-5), 1 - 1e-5)))"
+
+
+def newton_line(where: str, slope: bool, steps: int = 25) -> str:
+    """CTE ``line(method, i, a, b)``: Newton steps of the logistic regression of the label on the logit of the score."""
+    det = "nullif(haa * hbb - hab * hab, 0)"
+    da, db = (f"(hbb * ga - hab * gb) / {det}", f"(haa * gb - hab * ga) / {det}") if slope else ("ga / nullif(haa, 0)", "0")
+    new_a = f"a - greatest(least(coalesce({da}, 0), 4), -4)"
+    return f"""lx AS (SELECT method, {LOGIT} AS x, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS n FROM predictions WHERE {where} GROUP BY 1, 2),
+line AS (SELECT DISTINCT method, 0 AS i, 0::DOUBLE AS a, {0 if slope else 1}::DOUBLE AS b FROM lx UNION ALL
+  SELECT method, i + 1, {new_a if slope else f"greatest(least({new_a}, 6), -6)"}, b - greatest(least(coalesce({db}, 0), 4), -4) FROM (
+    SELECT method, i, a, b, sum(n * p - y) AS ga, sum((n * p - y) * x) + b AS gb, sum(n * p * (1 - p)) AS haa, sum(n * p * (1 - p) * x) AS hab, sum(n * p * (1 - p) * x * x) + 1 AS hbb
+    FROM (SELECT line.*, x, y, n, 1 / (1 + exp(-(a + b * x))) AS p FROM line JOIN lx USING (method) WHERE i < {steps}) GROUP BY 1, 2, 3, 4))"""
+
+
 # leaderboard scores -------------------------------------------------------------------------
 def scores(spark: SparkSession, d: str) -> DataFrame:
     """Score table: model = order priority, term = part type, scope = return flag."""

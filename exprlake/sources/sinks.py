@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +79,16 @@ def append_pending(planned: DataFrame, path: str, keys: Sequence[str], compute)
     return spark.read.schema(sample.schema).parquet(path)
 
 
+#: Size up to which a file is read as one cell; a cell can't hold 2 GB.
+WHOLE_FILE = 1 << 30
+PIECE = 8 << 20
+
+
 def content_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(path, category, bytes, sha256) of every file below ``path``."""
+    """(path, category, bytes, sha256) of every file below ``path``.
+
+    Spark's file source lists no empty files. Files above ``WHOLE_FILE`` go through the hash in pieces inside a task, so no size is too large and memory stays bounded.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -87,7 +99,26 @@ def content_inventory(spark: SparkSession, path: str) -> DataFrame:
         .when(ext.isin("md", "txt"), "text")
         .otherwise("other")
     )
-    return files.select("path", category.alias("category"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = ["path", category.alias("category"), F.col("length").alias("bytes")]
+    whole = files.filter(F.col("length") <= WHOLE_FILE).select(*listed, F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > WHOLE_FILE).select(*listed)
+    return whole.unionByName(large.mapInPandas(_hash_in_pieces, "path string, category string, bytes bigint, sha256 string"))
+
+
+def _hash_in_pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for f in frames:
+        found = []
+        for path in f["path"]:
+            local = re.match(r"file:/+(.*)", path, re.S)
+            system, at = (fs.LocalFileSystem(), f"/{local.group(1)}") if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            digest = hashlib.sha256()
+            with system.open_input_stream(at, compression=None) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield f.assign(sha256=found)
 
 
 def verify_inventory(stored: DataFrame, current: DataFrame) -> DataFrame:
