@@ -48,10 +48,11 @@ def joined(a: list, b: list) -> list:
     return [a[0] + b[0], longer(a[1], width, 0.0) + longer(b[1], width, 0.0), longer(a[2], width, a[0]) + longer(b[2], width, b[0])]
 
 
-def vector_sums(df: DataFrame, keys: Sequence[str], vec: str = "vec", merge: bool = False) -> DataFrame:
+def vector_sums(df: DataFrame, keys: Sequence[str], vec: str = "vec", merge: bool = False, partial: bool = False) -> DataFrame:
     """``keys, count, sum, missing``: rows, element-wise sums, and by position the rows without an element there (NULL: none).
 
     With ``merge`` the rows of ``df`` are such states themselves. A row whose vector is NULL counts, and is missing everywhere.
+    ``partial`` states are those of the tasks, not yet merged by key.
     """
     keys = list(keys)
     fields = [df.schema[k] for k in keys]
@@ -110,6 +111,8 @@ def vector_sums(df: DataFrame, keys: Sequence[str], vec: str = "vec", merge: boo
             yield rows({at: state})
 
     parts = df.select(*keys, "count", "sum", "missing") if merge else df.select(*keys, vec).mapInArrow(add, schema)
+    if partial:
+        return parts
     sent = parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.coalesce(1)
     return sent.mapInArrow(together, schema)
 
