@@ -75,6 +75,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`stored`; what Spark has shuffled for the writing is dropped as soon as it is done, since nobody reads it again."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        spark.conf.set(key, before)
+
+
 def names(ddl: str) -> list[str]:
     """Column names of a plain "name type, name type" schema."""
     return [x.split()[0] for x in ddl.split(", ")]
