@@ -86,6 +86,14 @@ def stored_alone(df: DataFrame, name: str) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def removed(*stored_frames: DataFrame) -> None:
+    """Remove the files of stored rows that no later step reads."""
+    for df in stored_frames:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def names(ddl: str) -> list[str]:
     """Column names of a plain "name type, name type" schema."""
     return [x.split()[0] for x in ddl.split(", ")]
