@@ -3,7 +3,8 @@
 Nothing here pairs all members of a bucket. Every member is first verified against the bucket's smallest
 member, which resolves nearly all buckets. Where members of a bucket are still in different components after
 that, only pairs across those components are looked at, each in the first bucket that holds both, in blocks of
-bounded size, so no link that the buckets can show is lost and no group is gathered in one task.
+bounded size, so no link that the buckets can show is lost and no group is gathered in one task. Where a table's key is
+a pair of sub-keys, the tables of one first sub-key are looked at together, so a large group isn't dealt once a table.
 """
 
 from __future__ import annotations
@@ -177,12 +178,14 @@ def dealt(rows: DataFrame, size: int) -> DataFrame:
 
 def linked(
     keyed: DataFrame, parts: DataFrame, sets: DataFrame, per_cent: int, first_shared: Callable[[np.ndarray, np.ndarray], np.ndarray],
+    per_part: int = 1,
 ) -> DataFrame:
     """``node, component`` over the links between ids that share a bucket.
 
     ``keyed``: ``key, bucket, id``, where ``bucket`` numbers the tables; ``parts``: ``id, parts`` (array of long), from
     which ``first_shared`` tells for rows and columns of ids the first table in which each two share a bucket (-1: none);
-    ``sets``: ``id, items`` for every id that shares a bucket.
+    ``sets``: ``id, items`` for every id that shares a bucket. Tables ``per_part * p`` to ``per_part * (p + 1) - 1`` are
+    those whose keys contain ``parts[p]``.
     """
     buckets = stored(
         keyed.groupBy("key", "bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count("*").alias("n")).filter("pivot < last"), "buckets"
@@ -195,14 +198,17 @@ def linked(
     label = joined.withColumnRenamed("node", "id")
     placed = members.filter("n > 2").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     ends = placed.groupBy("key", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key", "bucket")
-    opened = stored(placed.join(ends, ["key", "bucket"]).select("key", "bucket", "id", "component").join(parts, "id"), "open")
+    # two ids meet in an open table of part p only if they have that part in common
+    part = F.floor(F.col("bucket") / per_part).cast("int")
+    opened = placed.join(ends, ["key", "bucket"]).select("id", "component", part.alias("bucket")).distinct().join(parts, "id")
+    opened = stored(opened.select(F.get("parts", F.col("bucket")).alias("key"), "bucket", "id", "component", "parts"), "open")
     if opened.isEmpty():
         return joined
 
     def cells(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of each two blocks in a batch: row numbers of both sides, and the pairs to look at.
 
-        Those are the pairs that this bucket is the first to hold and that components keep apart.
+        Those are the pairs that this part's tables are the first to hold and that components keep apart.
         """
         x = np.array(frame["parts"].tolist(), np.int64)
         key, bucket, i, j, component, own = (frame[c].to_numpy() for c in ("key", "bucket", "i", "j", "component", "own"))
@@ -215,7 +221,7 @@ def linked(
             left, right = (rows, rows) if i[n] == j[n] else (rows[own[rows] == i[n]], rows[own[rows] == j[n]])
             apart = component[left][:, None] != component[right][None, :]
             if apart.any():
-                wanted = apart & (first_shared(x[left], x[right]) == bucket[n])
+                wanted = apart & (first_shared(x[left], x[right]) // per_part == bucket[n])
                 if wanted.any():
                     yield left, right, wanted
 

@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     asked = keyed.select("id").distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
     sets = stored(shingle_sets(texts.join(asked, "id")).dropDuplicates(["id"]), "shingle-sets")
-    found = linked(keyed, parts, sets, per_cent, first_shared)
+    found = linked(keyed, parts, sets, per_cent, first_shared, per_part=SIDE)
     answer = of.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("id").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id")
     ).withColumn("kept", F.col(key) == F.col("component_id"))
