@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from exprlake.llm import imatch, links, ppm, toxicity
 from exprlake.llm.common import word_ids
 from exprlake.llm.links import components, forest, shared_counts
-from exprlake.llm.neardup import near_duplicates, shingles
+from exprlake.llm.neardup import SIDE, near_duplicates, shingles
 from exprlake.llm.passages import cuts, remove_passages, repeated_passages, without
 from tests.llm.conftest import awkward_rows, frame, random_rows, sentence
 
@@ -89,6 +89,29 @@ def test_near_duplicates(spark):
         assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_near_copies_with_outsiders(spark, monkeypatch):
+    """A large group whose tables stay open: every member is dealt once per first sub-key at most, and groups stay exact."""
+    rng = random.Random(31)
+    base = sentence(rng, 100).split()
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(5, 95), 1 if i % 6 else rng.choice([4, 5])):
+            own[at] = f"w{rng.randrange(10**9)}"
+        rows.append((i, " ".join(own), None, None))
+    dealt, seen = links.dealt, []
+
+    def counted(members, size):
+        seen.append((members.count(), members.select("id").distinct().count()))
+        return dealt(members, size)
+
+    monkeypatch.setattr(links, "dealt", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    _, component = brute_near(rows)
+    assert got == {i: component.get(i, i) for i in got} and len(set(got.values())) > 10
+    assert seen and all(n <= SIDE * ids for n, ids in seen)
+
+
 def test_near_duplicates_of_awkward_rows(awkward, nothing):
     _, component = brute_near([r for r in awkward_rows() if r[0] is not None])
     got = near_duplicates(awkward).collect()
