@@ -54,3 +54,16 @@ def test_stages_take_awkward_rows(spark, small_dir, tmp_path):
     assert corpus_pipeline.drop_near_duplicates(spark, docs.filter("false"), small_dir).count() == 0
     assert corpus_pipeline.cut_repeated_passages(spark, docs, small_dir).count() == docs.count()
     assert corpus_pipeline.pack_windows(spark, docs.filter("false"), small_dir).count() == 0
+
+
+def test_filter_and_mixture_take_awkward_rows(spark, small_dir):
+    docs = frame(spark, awkward_rows()).select(*corpus_pipeline.COLUMNS, F.lit(1).alias("extra"))
+    whole, none = docs.select(*corpus_pipeline.COLUMNS), docs.filter("false")
+    calm = corpus_pipeline.drop_toxic(spark, docs, small_dir)
+    assert calm.columns == corpus_pipeline.COLUMNS and calm.exceptAll(whole).isEmpty()
+    # one text has one score, whatever its row
+    assert calm.filter("doc_id IN (106, 107)").count() in (0, 3)
+    assert corpus_pipeline.drop_toxic(spark, none, small_dir).count() == 0
+    mixed = corpus_pipeline.mix_sources(spark, docs, small_dir)
+    assert mixed.columns == corpus_pipeline.COLUMNS and whole.exceptAll(mixed).isEmpty() and mixed.subtract(whole).isEmpty()
+    assert corpus_pipeline.mix_sources(spark, none, small_dir).count() == 0
