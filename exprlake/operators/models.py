@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from exprlake.operators.fitting import Fitted, Moments, Spec, arrays, fit_many, moments_by_fold
 from exprlake.operators.metrics import auroc_auprc
-from exprlake.operators.tiles import column_moments
+from exprlake.operators.tiles import column_moments, principal_axes, stacked
 from exprlake.session import materialize
 
 
@@ -183,11 +183,11 @@ def random_forest(features: str, label: str, trees: int = 300, depth: int = 10,
 def scaled_pca_logistic(features: str, label: str, components: int = 20, c: float = 1.0, rows: int = 1) -> Pipeline:
     """Standardise, reduce by PCA, multinomial logistic regression."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.feature import StandardScaler
 
     return Pipeline(stages=[
         StandardScaler(inputCol=features, outputCol="_scaled", withMean=True),
-        PCA(k=components, inputCol="_scaled", outputCol="_pc"),
+        PrincipalComponents(k=components, inputCol="_scaled", outputCol="_pc"),
         LogisticRegression(featuresCol="_pc", labelCol=label, weightCol="weight", family="multinomial",
                            regParam=1.0 / (c * max(rows, 1)), standardization=False, maxIter=100)])
 
@@ -234,3 +234,41 @@ class TopVarianceModel(Model, _TopVarianceParams):
         col = self.getOrDefault(self.inputCol)
         at = F.split(F.lit(",".join(map(str, self.indices))), ",")
         return dataset.withColumn(self.getOrDefault(self.outputCol), F.transform(at, lambda i: F.get(F.col(col), i.cast("int"))))
+
+
+class PrincipalComponents(Estimator, _TopVarianceParams):
+    """Coordinates along the k directions of largest variance of a vector column.
+
+    The columns' products are added up in the tasks and NumPy takes their eigenvectors. MLlib's PCA takes them by the JVM's
+    LAPACK, which has failed to converge where several folds were fitted at a time.
+    """
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None, k: int = 20):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> "PrincipalComponentsModel":
+        from pyspark.ml.functions import vector_to_array
+
+        col = self.getOrDefault(self.inputCol)
+        _, axes, _, _ = principal_axes(dataset.select(vector_to_array(col).alias("x")), self.getOrDefault(self.k))
+        return PrincipalComponentsModel(axes, col, self.getOrDefault(self.outputCol))
+
+
+class PrincipalComponentsModel(Model, _TopVarianceParams):
+    def __init__(self, axes: np.ndarray, inputCol: str, outputCol: str):
+        super().__init__()
+        self.axes = axes
+        self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        held = dataset.sparkSession.sparkContext.broadcast(self.axes)
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            return pd.Series(list(stacked(x) @ held.value)) if len(x) else pd.Series([], dtype=object)
+
+        return dataset.withColumn(self.getOrDefault(self.outputCol), array_to_vector(project(vector_to_array(self.getOrDefault(self.inputCol)))))

@@ -23,6 +23,8 @@ from exprlake.session import materialize
 
 #: Rows and columns of a chunk.
 TILE = 512
+#: Width up to which a task adds up whole cross-products; those of wider vectors are made by tiles.
+NARROW = 1024
 CHUNK = "r bigint, c int, data binary"
 
 
@@ -78,6 +80,45 @@ class Chunks:
         return own.mapInPandas(turn, CHUNK), [x["rows"] for x in order.orderBy("k").collect()]
 
 
+def narrow_products(df: DataFrame, col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Row count, mean and centred products of the columns of narrow vectors, from one pass without a shuffle of rows."""
+    shift = np.asarray(df.select(col).first()[0], float)
+    d = len(shift)
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc = np.zeros(1 + d + d * d)
+        for f in frames:
+            if len(f):
+                x = stacked(f[col]) - shift
+                acc += np.concatenate([[len(f)], x.sum(0), (x.T @ x).ravel()])
+        yield pd.DataFrame({"sums": [acc]})
+
+    acc = add_rows(df.select(col).mapInPandas(add, "sums array<double>"))
+    n, above = acc[0], acc[1 : d + 1] / acc[0]
+    return int(n), shift + above, acc[d + 1 :].reshape(d, d) - n * np.outer(above, above)
+
+
+def principal_axes(df: DataFrame, k: int, narrow: int = NARROW) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of the vectors ``x``: the mean, the k directions of largest variance, their squares' sums and that of all.
+
+    Up to a width of ``narrow`` from one pass, else from the products of the columns or of the rows, whichever are fewer. Each
+    direction's sign is fixed so that its largest loading is positive.
+    """
+    if vector_width(df, "x") <= narrow:
+        _, mean, products = narrow_products(df, "x")
+    else:
+        found = chunks(df if "key" in df.columns else df.withColumn("key", F.monotonically_increasing_id()), ["x"])
+        mean = found.means[0]
+        products = None if found.n < len(mean) else column_products(found)[0]
+    if products is None:
+        ((u, s),) = row_bases(found)
+        total, values, load = (s**2).sum(), s[:k] ** 2, loadings(found, u[:, :k]) / s[:k]
+    else:
+        w, v = np.linalg.eigh(products)
+        total, values, load = w.sum(), w[::-1][:k], v[:, ::-1][:, :k]
+    return mean, load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])]), values, total
+
+
 def blocks_of(width: int) -> list[int]:
     return [min(TILE, width - i) for i in range(0, width, TILE)]
 
