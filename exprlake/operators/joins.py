@@ -95,7 +95,10 @@ def overlap_audit(entities: DataFrame, corpus: DataFrame, cohort: str, key: str)
 
 
 def pair_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Vectors of both ends of every edge; edges with an uncovered end drop out."""
+    """Vectors of both ends of every edge; edges with an uncovered end drop out, before any vector travels with them."""
+    keys = vectors.select("key")
+    for end in ("b", "a"):
+        edges = edges.join(keys.withColumnRenamed("key", end), end, "left_semi")
     a = vectors.select(F.col("key").alias("a"), F.col("vec").alias("vec_a"))
     b = vectors.select(F.col("key").alias("b"), F.col("vec").alias("vec_b"))
     return edges.join(a, "a").join(b, "b")
