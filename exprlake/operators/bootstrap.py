@@ -1,8 +1,8 @@
 """AUROC and average precision of many bootstrap replicates from one ranking.
 
 A row carries how often each replicate draws it, as one array. The rows are ranked once; a descending scan over the
-distinct scores then adds up whole arrays, so a replicate costs an addition and not a ranking. Draws are made where they
-can be counted at once: a task makes those of some replicates and sends on counts per block of places, never single draws.
+distinct scores then adds up whole arrays, so a replicate costs an addition and not a ranking. A task makes the draws of some
+replicates and sends them on by blocks of places, two bytes a draw, to where each block's rows are.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from exprlake.session import materialize
 #: Places of a stratum whose counts travel together.
 PLACES = 1024
 #: Replicates and draws of each that a unit of work makes.
-REPLICATES, DRAWS = 25, 1 << 16
+REPLICATES, DRAWS = 25, 1 << 18
 ROWS_PER_BUCKET = 50_000
-COUNTS = "sid bigint, block bigint, replicate int, counts binary"
+DRAWN = "sid bigint, block bigint, first int, sizes binary, places binary"
 RANKED = "gid bigint, bucket int, score double, label double, counts binary"
 SUMS = "gid bigint, bucket int, cnt binary, pos binary"
 
@@ -36,10 +36,11 @@ def numbered(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
 
 
 def draw_counts(sizes: DataFrame, replicates: int) -> DataFrame:
-    """How often each replicate draws each place: counts of ``PLACES`` places, one row a replicate and unit of draws.
+    """What each replicate draws: places inside blocks of ``PLACES``, one row a block and unit of draws.
 
     ``sizes``: ``sid, prefix, n``. Draw j of replicate r picks place md5(prefix:r:j) mod n (its first 13 hex digits), so the
-    draws depend on no task and can be repeated anywhere.
+    draws depend on no task and can be repeated anywhere. A row holds how many draws each replicate of the unit from
+    ``first`` on has in the block, and their places there, so what is sent grows with the draws and not with the blocks.
     """
     units = sizes.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(REPLICATES))))
     units = units.withColumn("start", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(DRAWS).cast("bigint"))))
@@ -47,20 +48,27 @@ def draw_counts(sizes: DataFrame, replicates: int) -> DataFrame:
     tasks = min(max(units.count(), 1), 4 * units.sparkSession.sparkContext.defaultParallelism)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        md5, whole = hashlib.md5, int.from_bytes
+        md5 = hashlib.md5
         for f in frames:
             for u in f.itertuples(index=False):
-                for r in range(u.first, min(u.first + REPLICATES, replicates + 1)):
-                    head = f"{u.prefix}:{r}:".encode()
-                    js = range(u.start, min(u.start + DRAWS, u.n + 1))
+                numbers = [b"%d" % j for j in range(u.start, min(u.start + DRAWS, u.n + 1))]
+                own = min(REPLICATES, replicates + 1 - u.first)
+                codes = np.empty((own, len(numbers)), np.int64)
+                for i in range(own):
+                    head = f"{u.prefix}:{u.first + i}:".encode()
+                    digests = b"".join([md5(head + j).digest() for j in numbers])
                     # 52 bits are 13 hex digits
-                    drawn = np.fromiter((whole(md5(head + b"%d" % j).digest()[:7], "big") >> 4 for j in js), np.int64, len(js)) % u.n
-                    drawn.sort()
-                    for part in np.split(drawn, np.flatnonzero(np.diff(drawn // PLACES)) + 1):
-                        counts = np.bincount(part % PLACES, minlength=PLACES).astype(np.uint32)
-                        yield pd.DataFrame({"sid": [u.sid], "block": [part[0] // PLACES], "replicate": [r], "counts": [counts.tobytes()]})
+                    drawn = (np.frombuffer(digests, ">u8")[::2] >> 12).astype(np.int64) % u.n
+                    codes[i] = (drawn // PLACES * own + i) * PLACES + drawn % PLACES
+                codes = np.sort(codes, axis=None)
+                cells, places = codes // PLACES, (codes % PLACES).astype(np.uint16)
+                blocks, starts = np.unique(cells // own, return_index=True)
+                cuts = [*starts.tolist(), len(codes)]
+                sizes = [np.bincount(cells[a:b] - k * own, minlength=own).astype(np.uint32).tobytes() for k, a, b in zip(blocks.tolist(), cuts[:-1], cuts[1:], strict=True)]
+                drawn = [places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pd.DataFrame({"sid": u.sid, "block": blocks, "first": u.first, "sizes": sizes, "places": drawn})
 
-    return units.repartition(tasks, "sid", "first", "start").mapInPandas(draw, COUNTS)
+    return units.repartition(tasks, "sid", "first", "start").mapInPandas(draw, DRAWN)
 
 
 def ranked_draws(df: DataFrame, groups: DataFrame, names: Sequence[str], strata: Sequence[str], key: str, label: str, score: str, replicates: int, seed: int) -> DataFrame:
@@ -78,9 +86,11 @@ def ranked_draws(df: DataFrame, groups: DataFrame, names: Sequence[str], strata:
     rows = rows.select("sid", F.floor((F.col("place") - 1) / PLACES).alias("block"), ((F.col("place") - 1) % PLACES).cast("int").alias("at"), "gid", "_b", "_s", "_y")
 
     def meet(rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((PLACES, replicates), np.uint32)
-        for r, c in zip(drawn["replicate"], drawn["counts"], strict=True):
-            table[:, r - 1] += np.frombuffer(c, np.uint32)
+        codes = [np.empty(0, np.int64)]
+        for first, sizes, places in zip(drawn["first"], drawn["sizes"], drawn["places"], strict=True):
+            sizes = np.frombuffer(sizes, np.uint32)
+            codes.append(np.frombuffer(places, np.uint16).astype(np.int64) * replicates + np.repeat(np.arange(len(sizes)) + first - 1, sizes))
+        table = np.bincount(np.concatenate(codes), minlength=PLACES * replicates).reshape(PLACES, replicates)
         small = table.astype(np.uint8 if table.max(initial=0) < 256 else np.uint32)
         return pd.DataFrame({
             "gid": rows["gid"], "bucket": rows["_b"], "score": rows["_s"], "label": rows["_y"], "counts": [small[i].tobytes() for i in rows["at"]],

@@ -178,7 +178,9 @@ def bootstrap_counts(df: DataFrame, strata: Sequence[str], key: str, replicates:
 
 def bootstrap_auc(df: DataFrame, groups: Sequence[str], key: str, label: str, score: str, replicates: int, seed: int, strata: Sequence[str] | None = None) -> DataFrame:
     """AUROC and AUPRC of every replicate; one-class replicates are NULL."""
-    return replicate_auc(df, groups, key, label, score, replicates, seed, groups if strata is None else strata)
+    strata = groups if strata is None else strata
+    df = materialize(df.select(*dict.fromkeys([*groups, *strata, key, label, score])), "scored")
+    return replicate_auc(df, groups, key, label, score, replicates, seed, strata)
 
 
 def percentile_interval(reps: DataFrame, groups: Sequence[str], metrics: Sequence[str], low: float = 0.025, high: float = 0.975) -> DataFrame:

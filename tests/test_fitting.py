@@ -149,3 +149,18 @@ def test_paired_replicates_share_draws(spark):
     for r in range(25):
         a, b = (plain_auc(y.astype(float), frame[m].to_numpy(), drawn[r]) for m in "ab")
         assert got.loc[r + 1, "auroc"] == pytest.approx(a[0] - b[0]) and got.loc[r + 1, "auprc"] == pytest.approx(a[1] - b[1])
+
+
+def test_draws_are_sent_by_their_number(spark, monkeypatch):
+    """Two bytes a draw, however many blocks a unit of draws falls into; once every row carried a whole block."""
+    monkeypatch.setattr(bootstrap, "PLACES", 4)
+    monkeypatch.setattr(bootstrap, "DRAWS", 10)
+    sizes = spark.createDataFrame([(0, "7:a", 500), (1, "7:b", 3)], "sid bigint, prefix string, n bigint")
+    sent = bootstrap.draw_counts(sizes, 30).toPandas()
+    assert sent["places"].map(len).sum() == 2 * 30 * 503
+    got = np.zeros((30, 500))
+    for r in sent[sent["sid"] == 0].itertuples():
+        n = np.frombuffer(r.sizes, np.uint32)
+        for i, p in zip(np.repeat(np.arange(len(n)), n), np.frombuffer(r.places, np.uint16), strict=True):
+            got[r.first - 1 + i, r.block * 4 + p] += 1
+    assert (got == plain_draws(500, "7:a", 30)).all()
