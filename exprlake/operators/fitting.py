@@ -2,8 +2,8 @@
 
 Every model has its own training rows (all folds but those it leaves out), and with them its own scaling, class weights
 and kept columns. The rows are packed into blocks of the columns that any model keeps; each pass over the blocks adds up
-what all models of a batch need, one row a task. Narrow models take Newton steps; wide ones are fitted from gradients
-alone (L-BFGS), so what a model holds grows with its kept columns and not with their square. Batches are as large as the
+what all models of a batch need. Narrow models take Newton steps, which are solved for where a model's sums meet, so that
+the driver only holds steps; wide ones are fitted from gradients alone (L-BFGS), so what a model holds grows with its kept columns and not with their square. Batches are as large as the
 driver's bounded state allows, whatever the number of models.
 """
 
@@ -22,8 +22,9 @@ from exprlake.session import materialize
 MERGE_TASKS = 8
 #: Numbers that the models of a batch hold on the driver together.
 MAX_STATE = 20_000_000
-#: Kept columns up to which a model's curvature is summed, and the part of the state that the sums of a task may fill.
-NEWTON_WIDTH, NEWTON_SHARE = 64, 0.1
+#: Kept columns up to which a model's curvature is summed, the part of the state that the sums of a task may fill, and the
+#: models whose sums a task sends on at a time.
+NEWTON_WIDTH, NEWTON_SHARE, SENT = 64, 0.1, 32
 BLOCK_BYTES = 8 << 20
 #: Earlier steps that L-BFGS remembers.
 MEMORY = 10
@@ -238,45 +239,58 @@ class Batch:
             place += len(a) * len(own)
         return out
 
-    def curvatures(self, blocks: tuple[DataFrame, bool]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Objective, gradient and curvature of every model."""
-        models, at, use, labels, losses, width = self.models, self.at, self.use, self.labels, self.losses, self.width
-        cuts = np.cumsum([0, *(1 + k + k * k for k in (len(g.coef) for g in models))])
+    def steps(self, blocks: tuple[DataFrame, bool]) -> list[tuple[float, np.ndarray]]:
+        """Objective and Newton step of every model.
 
-        def sums(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
-            acc = np.zeros(cuts[-1])
-            for j, g in enumerate(models):
-                some = use[fold, j] > 0
-                if not some.any():
-                    continue
-                z = np.column_stack([(x[some][:, at[j]] - g.mean) / g.scale, np.ones(some.sum())])
-                t = y[some, labels[j]]
-                w, u = np.where(t > 0.5, losses[j, 1], losses[j, 0]), z @ g.coef
-                p = sigmoid(u)
-                h = (z * (w * p * (1 - p))[:, None]).T @ z
-                acc[cuts[j] : cuts[j + 1]] = np.concatenate([[(w * (np.logaddexp(0, u) - t * u)).sum()], z.T @ (w * (p - t)), h.ravel()])
-            return acc
-
-        flat, out = over_blocks(blocks, width, sums), []
-        for j, g in enumerate(models):
-            s, k = flat[cuts[j] : cuts[j + 1]], len(g.coef)
+        The tasks' sums meet by model and the step is solved for there, so the driver sees a step and no curvature.
+        """
+        models, at, use, labels, losses, width = self.models, self.at, self.use, self.labels, self.losses, self.width
+        coefs = [g.coef for g in models]
+
+        def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, np.ndarray] = {}
+            for f in frames:
+                for n, xs, ys, folds in zip(f["n"], f["x"], f["y"], f["fold"], strict=True):
+                    x, y, fold = np.frombuffer(xs).reshape(n, width), np.frombuffer(ys).reshape(n, -1), np.frombuffer(folds, np.int32)
+                    for j, g in enumerate(models):
+                        some = use[fold, j] > 0
+                        if not some.any():
+                            continue
+                        z = np.column_stack([(x[some][:, at[j]] - g.mean) / g.scale, np.ones(some.sum())])
+                        t = y[some, labels[j]]
+                        w, u = np.where(t > 0.5, losses[j, 1], losses[j, 0]), z @ coefs[j]
+                        p = sigmoid(u)
+                        h = (z * (w * p * (1 - p))[:, None]).T @ z
+                        part = np.concatenate([[(w * (np.logaddexp(0, u) - t * u)).sum()], z.T @ (w * (p - t)), h.ravel()])
+                        held[j] = held[j] + part if j in held else part
+            for some in np.array_split(list(held), max(1, len(held) // SENT)):
+                yield pd.DataFrame({"j": some.astype(np.int32), "sums": [held[j] for j in some]})
+
+        def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+            w = coefs[key[0]]
+            s, k = np.sum(np.stack(frame["sums"]), axis=0), len(w)
             ridge = np.append(np.ones(k - 1), 0.0)
-            out.append((s[0] + 0.5 * (ridge * g.coef**2).sum(), s[1 : k + 1] + ridge * g.coef, s[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-10)))
-        return out
+            step = np.linalg.solve(s[k + 1 :].reshape(k, k) + np.diag(ridge + 1e-10), s[1 : k + 1] + ridge * w)
+            return pd.DataFrame({"j": [key[0]], "loss": [s[0] + 0.5 * (ridge * w**2).sum()], "step": [step]})
+
+        parts = blocks[0].mapInPandas(add, "j int, sums array<double>")
+        found = {r["j"]: (r["loss"], np.asarray(r["step"])) for r in parts.groupBy("j").applyInPandas(solve, "j int, loss double, step array<double>").collect()}
+        # a model without training rows has nothing but its penalty
+        return [found.get(j) or (0.5 * (w[:-1] ** 2).sum(), np.append(w[:-1], 0.0)) for j, w in enumerate(coefs)]
 
 
 def newton(batch: Batch, blocks: tuple[DataFrame, bool], steps: int, tolerance: float) -> None:
     """Newton's method for all models at once; those that have arrived leave the passes."""
-    last: list[tuple[float, np.ndarray, np.ndarray] | None] = [None] * len(batch.models)
+    last: list[tuple[float, np.ndarray, np.ndarray] | None] = [None] * len(batch.models)  # objective, coefficients, step
     open_ = list(range(len(batch.models)))
     for _ in range(steps):
-        for i, (loss, grad, curvature) in zip(open_, batch.of(open_).curvatures(blocks), strict=True):
+        for i, (loss, step) in zip(open_, batch.of(open_).steps(blocks), strict=True):
             g, before = batch.models[i], last[i]
             if before is not None and loss > before[0] + 1e-9 * (1 + abs(before[0])):
                 last[i] = (before[0], before[1], before[2] / 2)  # the step was too long: go half as far
                 g.coef = before[1] - last[i][2]
             else:
-                last[i] = (loss, g.coef.copy(), np.linalg.solve(curvature, grad))
+                last[i] = (loss, g.coef.copy(), step)
                 g.coef = g.coef - last[i][2]
         open_ = [i for i in open_ if np.abs(last[i][2]).max() >= tolerance]
         if not open_:

@@ -93,6 +93,18 @@ def test_all_terms_are_probed(spark):
     assert (out.loc[["x", "y", "z"], "auroc"] > 0.9).all()
 
 
+def test_driver_sees_steps_and_no_curvatures(spark, monkeypatch):
+    """Narrow models: what reaches the driver from a pass grows with their width, not with its square."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 20))
+    y = (x[:, 0] + rng.normal(size=90) > 0).astype(float)
+    fold = np.array(["a", "b", "c"])[np.arange(90) % 3]
+    monkeypatch.setattr(fitting, "over_blocks", lambda *_: pytest.fail("the sums of a pass reached the driver whole"))
+    specs = [mo.Spec(f"{f}{c}", 0, (f,), (f,), c) for f in "abc" for c in (0.1, 10.0)]
+    for g in fitting.fit_many(table(spark, x, y, fold), specs):
+        assert slope(g, x, y, fold != g.spec.exclude[0]) < 2e-5
+
+
 # bootstrap ----------------------------------------------------------------------------------
 def plain_auc(y, s, w):
     pos, cnt = (w * y).sum(), w.sum()
