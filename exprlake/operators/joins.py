@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from exprlake.functions.columns import safe_div
 from exprlake.operators.ordering import top_k
+from exprlake.operators.sets import meet_terms, names_of_members
 from exprlake.operators.sums import means, vector_sums
 
 
@@ -122,7 +123,6 @@ def normalised_join(left: DataFrame, right: DataFrame, left_key: Column, right_k
 
 def top_feature_overlap(df: DataFrame, membership: DataFrame, k: int) -> DataFrame:
     """Per sample and term: how many, and which, of the sample's k largest features are members."""
-    top = top_k(df, ["sample_id"], [F.col("value").desc(), F.col("feature")], k).select("sample_id", "feature")
-    return top.join(membership.select("term", "feature").distinct(), "feature").groupBy("sample_id", "term").agg(
-        F.count(F.lit(1)).alias("overlap"), F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("features")
-    )
+    top = top_k(df, ["sample_id"], [F.col("value").desc(), F.col("feature")], k)
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((df, "sample_id"), (membership, "term"))]
+    return meet_terms(top, membership, names_of_members, f"sample_id {kinds[0]}, term {kinds[1]}, overlap bigint, features string")
