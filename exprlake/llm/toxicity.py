@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from exprlake.llm.common import kept, stored, unsigned_order
+from exprlake.llm.common import kept, released, stored, unsigned_order
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -180,6 +180,7 @@ def fit(
     sample = stored(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k"), "labelled-texts")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def flush() -> pa.RecordBatch:
