@@ -101,14 +101,15 @@ def overlapping(query: DataFrame, names: DataFrame, settings: AtlasSettings) ->
 
 def similarities(
     query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings(), per_sample: bool = False,
+    per_class: int | None = None,
 ) -> DataFrame:
     """Best references per sample and class, by correlation over the shared features.
 
     ``reference`` holds (reference_id, feature, value) on a log scale; ``metadata``
     (reference_id, species, tissue), where a missing row or field reads as unknown. Enough rows
     are kept for every later step: the best ``candidates`` of each class contain the best
-    ``candidates`` overall. Both sides are read by several passes, so each is written to the
-    shared folder once.
+    ``candidates`` overall. A caller whose steps need fewer names them by ``per_class``; :func:`matches` needs the
+    best ``top_k`` of each class. Both sides are read by several passes, so each is written to the shared folder once.
 
     A request is judged as a whole: its scale, its features and whether they are enough. With
     ``per_sample`` each sample is judged by itself over all features of the atlas, so its answer does
@@ -132,7 +133,7 @@ def similarities(
     r = r.select(F.col("sample_id").alias("reference_id"), centred_unit("values").alias("vec")).join(described, "reference_id", "left")
     r = r.select(F.col("reference_id").alias("key"), "vec", reference_class("tissue").alias("reference_type"))
     q, r = materialize(q, "query-vectors"), materialize(r, "atlas-vectors")
-    near = exact_knn(q, r, max(settings.candidates, settings.top_k), "dot", per="reference_type").drop("rank")
+    near = exact_knn(q, r, per_class or max(settings.candidates, settings.top_k), "dot", per="reference_type").drop("rank")
     near = near.withColumnsRenamed({"key": "sample_id", "neighbour": "reference_id"})
     return near.join(described, "reference_id", "left").fillna(UNKNOWN, ["species", "tissue"])
 

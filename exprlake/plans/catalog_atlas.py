@@ -30,9 +30,9 @@ def references(spark, d):
     return ref, info
 
 
-def near(spark, d):
+def near(spark, d, per_class=None):
     ref, info = references(spark, d)
-    return at.similarities(measurement(spark, d), ref, info, SETTINGS)
+    return at.similarities(measurement(spark, d), ref, info, SETTINGS, per_class=per_class)
 
 
 # the scale of a request as a whole (its largest value is above the threshold), and of each sample by itself
@@ -71,7 +71,7 @@ NEAR = NEAR_OF.replace("{query}", WHOLE)
 def vec03(spark, d):
     from exprlake.operators.ordering import top_k
 
-    n = top_k(near(spark, d), ["sample_id", "reference_type"], [F.col("similarity").desc(), F.col("reference_id")], 5)
+    n = top_k(near(spark, d, 5), ["sample_id", "reference_type"], [F.col("similarity").desc(), F.col("reference_id")], 5)
     return rounded(n.select("sample_id", "reference_id", "tissue", "reference_type", "similarity"), "similarity", digits=5)
 
 
@@ -82,12 +82,12 @@ def vec04(spark, d):
 
 @query("win11_quota_top_k", f"""WITH {NEAR} SELECT sample_id, rank, reference_id, reference_type, {R('similarity', 5)} AS similarity FROM found""")
 def win11(spark, d):
-    return rounded(at.matches(near(spark, d), SETTINGS).select("sample_id", "rank", "reference_id", "reference_type", "similarity"), "similarity", digits=5)
+    return rounded(at.matches(near(spark, d, SETTINGS.top_k), SETTINGS).select("sample_id", "rank", "reference_id", "reference_type", "similarity"), "similarity", digits=5)
 
 
 @query("win13_first_of_class", f"""WITH {NEAR} SELECT sample_id, arg_min(reference_id, rank) AS reference_id, {R('arg_min(similarity, rank)', 5)} AS similarity FROM found WHERE reference_type = 'tumor_cohort' GROUP BY 1""")
 def win13(spark, d):
-    return rounded(rk.first_of_class(at.matches(near(spark, d), SETTINGS), "reference_type", "tumor_cohort"), "similarity", digits=5)
+    return rounded(rk.first_of_class(at.matches(near(spark, d, SETTINGS.top_k), SETTINGS), "reference_type", "tumor_cohort"), "similarity", digits=5)
 
 
 @query("win14_vote_call", f"""WITH {NEAR} SELECT sample_id, {R('weight', 5)} AS weight, {R('margin', 5)} AS margin, CASE WHEN top IS NOT NULL AND margin >= 0.1 THEN top ELSE 'indeterminate' END AS call FROM votes""")
@@ -98,7 +98,7 @@ def win14(spark, d):
 @query("win15_label_scores", f"""WITH {NEAR}, m AS (SELECT sample_id, tissue, avg(similarity) AS score FROM found WHERE reference_type = 'healthy_tissue' GROUP BY 1, 2)
 SELECT sample_id, tissue, {R('score', 5)} AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, tissue) AS k FROM m) WHERE k <= 5""")
 def win15(spark, d):
-    return rounded(at.tissue_evidence(at.matches(near(spark, d), SETTINGS)).drop("rank"), "score", digits=5)
+    return rounded(at.tissue_evidence(at.matches(near(spark, d, SETTINGS.top_k), SETTINGS)).drop("rank"), "score", digits=5)
 
 
 BEST = """b AS (SELECT sample_id, arg_min(reference_id, rank) AS best_reference, arg_min(tissue, rank) AS best_tissue, arg_min(similarity, rank) AS s FROM found WHERE reference_type = 'healthy_tissue' GROUP BY 1),
