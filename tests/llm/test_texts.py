@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from exprlake.llm import imatch, links, ppm, toxicity
+from exprlake.llm import imatch, links, passages, ppm, toxicity
 from exprlake.llm.common import word_ids
 from exprlake.llm.links import components, forest, shared_counts
 from exprlake.llm.neardup import SIDE, near_duplicates, shingles
@@ -205,6 +206,26 @@ def test_passages_with_changed_words(spark):
     assert all(whole[k] == 1 for k, x in expected.items() if x[1] > 60)
 
 
+def test_long_copies_are_hashed_once_a_pair(monkeypatch):
+    """However many words of two long texts differ, their shingles are hashed once and sets of spans are marked, not sorted."""
+    rng = np.random.default_rng(23)
+    x = rng.integers(1, 2**63, 9000, dtype=np.uint64)
+    y = x.copy()
+    changed = np.concatenate([np.arange(20, 3000, 30), np.arange(3000, 6000, 3), np.arange(6020, 9000, 40)])
+    y[changed] = rng.integers(1, 2**63, len(changed), dtype=np.uint64)
+    row = dict(doc=1, start=6100, end=6110, doc0=0, start0=6100, end0=6110, cluster=7, at=6100, at0=6100, lo=0, hi=9000, total=9000, lo0=0, hi0=9000, total0=9000)
+    calls = []
+    monkeypatch.setattr(passages, "rolling", lambda h, whole=passages.rolling: calls.append(len(h)) or whole(h))
+
+    class Pairs:
+        def mapInArrow(self, run, schema):
+            return run(iter([pa.RecordBatch.from_pylist([row | {"words": x.tobytes(), "words0": y.tobytes()}])]))
+
+    (out,) = passages.agreements(Pairs(), 50, 75)
+    assert [(r["edge"], r["begin"], r["stop"]) for r in out.to_pylist()] == [(False, 5998, 9000)]  # the two words after the last of the many changes belong to it
+    assert len(calls) == 2
+
+
 def test_passages_hide_behind_no_phrase(spark):
     rng = random.Random(22)
     rows, expected = [], {}
