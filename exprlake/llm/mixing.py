@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from exprlake.llm.common import stored, unsigned_order
+from exprlake.llm.common import stored, stored_alone, unsigned_order
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 STEPS = 30
@@ -149,8 +149,13 @@ def realise(docs: DataFrame, key: str = "doc_id", **options: object) -> DataFram
 
     Equal rows are told apart by nothing, so they are met as one row with all their uses.
     """
+    def keyed(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+
     mark = F.xxhash64(*[F.col(c) for c in docs.columns]).alias("__mark")
-    plan = mix(docs, key=key, extra=(mark,), **options).select(F.col(key).alias("__k"), F.col("__mark").alias("__m"), F.col("block").alias("__block"), F.col("pos").alias("__pos"))
-    rows = docs.withColumns({"__mark": mark, "__key": F.col(key)}).dropDuplicates(["__key", "__mark"])
-    met = rows.join(plan, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__mark") == F.col("__m")))
+    plan = mix(docs, key=key, extra=(mark,), **options).select(keyed(F.col(key)).alias("__key"), "__mark", F.col("block").alias("__block"), F.col("pos").alias("__pos"))
+    # Keys without nulls (the mark tells a null key from an empty one), so that one dealing of the texts serves the rows'
+    # repeats and their uses; what the plan itself has shuffled is dropped before.
+    rows = docs.withColumns({"__mark": mark, "__key": keyed(F.col(key))}).repartition("__key", "__mark").dropDuplicates(["__key", "__mark"])
+    met = rows.join(stored_alone(plan, "uses"), ["__key", "__mark"])
     return met.repartitionByRange("__block").sortWithinPartitions("__block", "__pos").select(*docs.columns)

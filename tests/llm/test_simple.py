@@ -150,6 +150,17 @@ def test_realise_keeps_columns_and_rows(spark, awkward, nothing):
     assert realise(nothing).count() == 0
 
 
+def test_realise_deals_texts_once_to_their_uses(spark, awkward):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = realise(awkward)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the rows and, from rows already written, their uses; repeats are dropped where the rows are
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("Exchange rangepartitioning") == 1
+
+
 def brute(vectors, queries, k):
     out = {}
     for q, v in queries:
