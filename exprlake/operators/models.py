@@ -146,38 +146,27 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     return known.join(weights, label)
 
 
-def out_of_fold(df: DataFrame, pipeline: Pipeline, label: str, folds: int, keep: Sequence[str], importances: bool = False, parallel: int = 4):
+def out_of_fold(df: DataFrame, pipeline: Pipeline, label: str, folds: int, keep: Sequence[str], parallel: int = 4) -> DataFrame:
     """Fit a pipeline once per fold and score the fold left out; weights are balanced on training rows.
 
     ``parallel`` folds are fitted at a time, since one fit alone leaves most of a cluster idle. Returns predictions with
-    ``probabilities`` and, if asked for, the importances per fold.
+    ``probabilities``.
     """
     from multiprocessing.pool import ThreadPool
 
     from pyspark import inheritable_thread_target
     from pyspark.ml.functions import vector_to_array
 
-    def one(f: int) -> tuple[DataFrame, Model]:
-        model = pipeline.fit(balanced_weights(df.filter(F.col("fold") != f), label))
-        return model.transform(df.filter(F.col("fold") == f)), model
+    def one(f: int) -> DataFrame:
+        return pipeline.fit(balanced_weights(df.filter(F.col("fold") != f), label)).transform(df.filter(F.col("fold") == f))
 
     with ThreadPool(min(parallel, folds)) as pool:
         fitted = pool.map(inheritable_thread_target(df.sparkSession)(one), range(folds))
-    preds, imps = None, []
-    for out, model in fitted:
+    preds = None
+    for out in fitted:
         out = out.select(*keep, label, "fold", vector_to_array("probability").alias("probabilities"), F.col("prediction").cast("double").alias("prediction"))
         preds = out if preds is None else preds.unionByName(out)
-        if importances:
-            imps.append([float(v) for v in model.stages[-1].featureImportances.toArray()])
-    return (preds, imps) if importances else preds
-
-
-def random_forest(features: str, label: str, trees: int = 300, depth: int = 10, seed: int = 0) -> Pipeline:
-    from pyspark.ml.classification import RandomForestClassifier
-
-    return Pipeline(stages=[RandomForestClassifier(
-        featuresCol=features, labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="sqrt", minInstancesPerNode=2, seed=seed)])
+    return preds
 
 
 def scaled_pca_logistic(features: str, label: str, components: int = 20, c: float = 1.0, rows: int = 1) -> Pipeline:

@@ -8,6 +8,7 @@ from exprlake.operators import models as mo
 from exprlake.operators import splits as sp
 from exprlake.operators import vectors as ve
 from exprlake.operators.aggregate import mean_and_spread
+from exprlake.operators.forest import forest_out_of_fold
 from exprlake.operators.joins import pair_vectors
 from exprlake.operators.metrics import auroc_auprc, eta_squared, multiclass_classification
 from exprlake.plans.inputs import (
@@ -125,9 +126,8 @@ def ml01(spark, d):
 @query("ml02_random_forest")
 def ml02(spark, d):
     """Out-of-fold probabilities, each row with the importances of the forest that scored it."""
-    rows = packed(spark, d).withColumn("features", array_to_vector("values"))
-    rows = mo.materialize(sp.stratified_group_kfold(rows.drop("values"), "group_id", "label", 5, 4), "folds")
-    preds, imps = mo.out_of_fold(rows, mo.random_forest("features", "label"), "label", 5, ["sample_id"], importances=True)
+    rows = mo.materialize(sp.stratified_group_kfold(packed(spark, d), "group_id", "label", 5, 4), "folds")
+    preds, imps = forest_out_of_fold(rows, "sample_id", "values")
     of_fold = F.array(*[F.array(*[F.lit(v) for v in i]) for i in imps])[F.col("fold")]
     return preds.select("sample_id", "label", "fold", F.col("probabilities")[1].alias("probability"), of_fold.alias("importances"))
 
