@@ -123,24 +123,27 @@ def best_record(df: DataFrame, group: str, preferred: Column, quality: str, key:
     return first_row(df, [group], [preferred.desc_nulls_last(), F.col(quality).desc_nulls_last(), F.col(key)])
 
 
-def quota_top_k(matches: DataFrame, kind: str, quotas: Mapping[str, int], fallback: int, fallback_kind: str | None = None) -> DataFrame:
+def quota_top_k(
+    matches: DataFrame, kind: str, quotas: Mapping[str, int], fallback: int, fallback_kind: str | None = None, class_rank: str | None = None,
+) -> DataFrame:
     """Best matches per sample by class quota in the given class order, ranks renumbered.
 
     Samples without any match of a listed class get their overall best ``fallback``, named ``fallback_kind`` if given.
+    ``class_rank`` names a column that already ranks a sample's matches in their class. One shuffle serves all windows.
     """
     order = [F.col("similarity").desc(), F.col("reference_id")]
     places = {k: i for i, k in enumerate(quotas)}
     place = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])[F.col(kind)]
     quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col(kind)]
-    listed = matches.filter(F.col(kind).isin(*quotas))
-    listed = top_k(listed, ["sample_id", kind], order, max(quotas.values()), "_r").filter(F.col("_r") <= quota)
-    listed = listed.withColumn("_c", place).drop("_r")
-    rest = matches.join(listed.select("sample_id").distinct(), "sample_id", "left_anti")
-    rest = top_k(rest, ["sample_id"], order, fallback, "_r").drop("_r").withColumn("_c", F.lit(0))
+    listed = F.coalesce(F.col(kind).isin(*quotas), F.lit(False))
+    own = Window.partitionBy("sample_id")
+    out = matches.withColumn("_any", F.max(listed).over(own))
+    out = out.withColumn("_r", F.col(class_rank) if class_rank else F.row_number().over(Window.partitionBy("sample_id", kind).orderBy(*order)))
+    out = out.filter(~F.col("_any") | (listed & (F.col("_r") <= quota))).withColumn("_c", F.when(F.col("_any"), place).otherwise(0))
     if fallback_kind is not None:
-        rest = rest.withColumn(kind, F.lit(fallback_kind))
-    w = Window.partitionBy("sample_id").orderBy("_c", *order)  # at most sum(quotas) rows per sample
-    return listed.unionByName(rest).withColumn("rank", F.row_number().over(w).cast("bigint")).drop("_c")
+        out = out.withColumn(kind, F.when(F.col("_any"), F.col(kind)).otherwise(fallback_kind))
+    out = out.withColumn("rank", F.row_number().over(own.orderBy("_c", *order)).cast("bigint"))
+    return out.filter(F.col("_any") | (F.col("rank") <= fallback)).drop("_any", "_r", "_c")
 
 
 def first_of_class(matches: DataFrame, kind: str, value: str) -> DataFrame:
@@ -150,16 +153,23 @@ def first_of_class(matches: DataFrame, kind: str, value: str) -> DataFrame:
         "sample_id", "_m.reference_id", "_m.similarity")
 
 
-def vote_call(matches: DataFrame, label: str, candidates: int = 50, margin: float = 0.1, temperature: float = 0.08) -> DataFrame:
+def vote_call(
+    matches: DataFrame, label: str, candidates: int = 50, margin: float = 0.1, temperature: float = 0.08, rank: str | None = None,
+    samples: DataFrame | None = None,
+) -> DataFrame:
     """Label call per sample from its best candidates.
 
     The best similarity per label goes through a softmax; the call is the first
     label when it leads by ``margin``, else ``indeterminate``. A sample whose candidates
-    have no named label is ``indeterminate`` with margin 1 and no weight.
+    have no named label is ``indeterminate`` with margin 1 and no weight. ``rank`` names a column that already ranks a
+    sample's matches; ``samples`` are those to answer, by default all of ``matches``.
     """
     from exprlake.operators.normalize import softmax
 
-    near = top_k(matches, ["sample_id"], [F.col("similarity").desc(), F.col("reference_id")], candidates, "_r")
+    if rank:
+        near = matches.filter(F.col(rank) <= candidates)
+    else:
+        near = top_k(matches, ["sample_id"], [F.col("similarity").desc(), F.col("reference_id")], candidates, "_r")
     named = near.filter(~F.lower(F.coalesce(label, F.lit(""))).isin("", "unknown"))
     best = named.groupBy("sample_id", label).agg(F.max("similarity").alias("_s"))
     voted = softmax(best, ["sample_id"], "_s", temperature)
@@ -169,7 +179,8 @@ def vote_call(matches: DataFrame, label: str, candidates: int = 50, margin: floa
         F.max(F.when(F.col("_r") == 1, F.col("weight"))).alias("weight"),
         F.max(F.when(F.col("_r") == 2, F.col("weight"))).alias("_w2"),
     )
-    out = matches.select("sample_id").distinct().join(voted_for, "sample_id", "left")
+    samples = matches.select("sample_id").distinct() if samples is None else samples
+    out = samples.join(voted_for, "sample_id", "left")
     out = out.withColumn("margin", F.when(F.col("_w2").isNull(), 1.0).otherwise(F.col("weight") - F.col("_w2")))
     call = F.when(F.col("_l").isNotNull() & (F.col("margin") >= margin), F.col("_l")).otherwise("indeterminate")
     return out.withColumn("call", call).drop("_l", "_w2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from exprlake.functions.vectors import centred_unit
@@ -14,7 +14,7 @@ from exprlake.operators.clean import UNKNOWN_TISSUE as UNKNOWN
 from exprlake.operators.clean import reference_class
 from exprlake.operators.normalize import log1p_cpm
 from exprlake.operators.ordering import keyed_position, top_k
-from exprlake.operators.ranking import first_of_class, label_scores, quota_top_k, vote_call
+from exprlake.operators.ranking import label_scores, quota_top_k, vote_call
 from exprlake.operators.vectors import exact_knn
 from exprlake.session import materialize
 
@@ -41,20 +41,25 @@ def query_on_log_scale(query: DataFrame, threshold: float = 30.0, per_sample: bo
     """Counts per million on a log scale when any value of the request, or of the sample, exceeds the threshold."""
     clipped = query.select("sample_id", "feature", F.greatest(F.col("value"), F.lit(0.0)).alias("value"))
     if per_sample:
-        tops = clipped.groupBy("sample_id").agg((F.max("value") > threshold).alias("_raw"))
-        scaled = log1p_cpm(clipped).withColumnRenamed("value", "_log")
-        both = clipped.join(scaled, ["sample_id", "feature"]).join(tops, "sample_id")
-        return both.select("sample_id", "feature", F.when(F.col("_raw"), F.col("_log")).otherwise(F.col("value")).alias("value"))
+        of = Window.partitionBy("sample_id")  # bounded by the vocabulary
+        total = F.greatest(F.sum("value").over(of), F.lit(1.0))
+        scaled = F.when(F.max("value").over(of) > threshold, F.log1p(F.col("value") * 1e6 / total))
+        return clipped.withColumn("value", scaled.otherwise(F.col("value")))
     top = clipped.agg(F.max("value").alias("m")).first()["m"]
     return log1p_cpm(clipped) if top is not None and top > threshold else clipped
 
 
 def in_order(features: DataFrame, names: list[str] | None) -> DataFrame:
-    """``feature, pos`` by name: from the list where it is small, else ranked on Spark."""
+    """``feature, pos`` by name: from the list where it is small, else ranked on Spark.
+
+    It is written first, so that Spark knows its size and doesn't shuffle measurements by their few features to join it.
+    """
     if names is not None:
-        return features.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, pos int")
-    placed = keyed_position(features.select("feature").distinct(), [], "feature", "pos")
-    return materialize(placed.select("feature", (F.col("pos") - 1).cast("int").alias("pos")), "vocabulary")
+        placed = features.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "feature string, pos int")
+    else:
+        placed = keyed_position(features.select("feature").distinct(), [], "feature", "pos")
+        placed = placed.select("feature", (F.col("pos") - 1).cast("int").alias("pos"))
+    return materialize(placed, "vocabulary")
 
 
 def feature_names(features: DataFrame) -> list[str] | None:
@@ -92,24 +97,24 @@ def shared_names(query: DataFrame, reference: DataFrame, settings: AtlasSettings
 
 
 def overlapping(query: DataFrame, names: DataFrame, settings: AtlasSettings) -> DataFrame:
-    """``sample_id, enough``: whether a sample by itself shares enough features with a fixed vocabulary ``feature``."""
-    known = query.select("sample_id", "feature").distinct().join(names.withColumn("_k", F.lit(1)), "feature", "left")
-    counts = known.groupBy("sample_id").agg(F.count("_k").alias("_shared"), F.count("*").alias("_all"))
+    """Cells of a fixed vocabulary ``feature``, of the samples that by themselves share enough features with it.
+
+    One shuffle by sample serves this and what follows.
+    """
+    of = Window.partitionBy("sample_id")
+    known = query.join(names.withColumn("_k", F.lit(True)), "feature", "left")
+    known = known.withColumn("_new", F.coalesce(F.lag("feature").over(of.orderBy("feature")) != F.col("feature"), F.lit(True)))
+    known = known.withColumns({"_shared": F.count_if(F.col("_k") & F.col("_new")).over(of), "_all": F.count_if("_new").over(of)})
     need = F.least(F.lit(settings.minimum_shared), F.greatest(F.lit(settings.sparse_minimum), F.ceil(0.4 * F.col("_all"))))
-    return counts.select("sample_id", (F.col("_shared") >= need).alias("enough"))
+    return known.filter(F.col("_k") & (F.col("_shared") >= need)).select("sample_id", "feature", "value")
 
 
-def similarities(
-    query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings(), per_sample: bool = False,
-    per_class: int | None = None,
-) -> DataFrame:
-    """Best references per sample and class, by correlation over the shared features.
+def compared(
+    query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings, per_sample: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unit vectors of the samples and of the references over the shared features, and the references' species and tissue.
 
-    ``reference`` holds (reference_id, feature, value) on a log scale; ``metadata``
-    (reference_id, species, tissue), where a missing row or field reads as unknown. Enough rows
-    are kept for every later step: the best ``candidates`` of each class contain the best
-    ``candidates`` overall. A caller whose steps need fewer names them by ``per_class``; :func:`matches` needs the
-    best ``top_k`` of each class. Both sides are read by several passes, so each is written to the shared folder once.
+    Both sides are read by several passes, so each is written to the shared folder once.
 
     A request is judged as a whole: its scale, its features and whether they are enough. With
     ``per_sample`` each sample is judged by itself over all features of the atlas, so its answer does
@@ -123,28 +128,48 @@ def similarities(
         names, features = shared_names(query, reference, settings), marked(query, reference).filter("known")
     vocab = in_order(features, names)
     shared = vocab.select("feature")
-    if per_sample:
-        enough = overlapping(query, shared, settings).filter("enough").select("sample_id")
-        query = query.join(enough, "sample_id", "left_semi")
-    ready = query_on_log_scale(query.join(shared, "feature", "left_semi"), settings.raw_threshold, per_sample)
+    own = overlapping(query, shared, settings) if per_sample else query.join(shared, "feature", "left_semi")
+    ready = query_on_log_scale(own, settings.raw_threshold, per_sample)
     q = pack(ready, vocab, 0.0, names).select(F.col("sample_id").alias("key"), centred_unit("values").alias("vec"))
     r = pack(reference.withColumnRenamed("reference_id", "sample_id"), vocab, 0.0, names)
     described = metadata.select("reference_id", *[F.coalesce(c, F.lit(UNKNOWN)).alias(c) for c in ("species", "tissue")])
     r = r.select(F.col("sample_id").alias("reference_id"), centred_unit("values").alias("vec")).join(described, "reference_id", "left")
     r = r.select(F.col("reference_id").alias("key"), "vec", reference_class("tissue").alias("reference_type"))
     q, r = materialize(q, "query-vectors"), materialize(r, "atlas-vectors")
-    near = exact_knn(q, r, per_class or max(settings.candidates, settings.top_k), "dot", per="reference_type").drop("rank")
-    near = near.withColumnsRenamed({"key": "sample_id", "neighbour": "reference_id"})
+    return q, r, described
+
+
+def nearest(q: DataFrame, r: DataFrame, described: DataFrame, k: int, per: str | None = "reference_type") -> DataFrame:
+    """The best ``k`` references per sample, and class unless ``per`` is none, described, with their ``rank``."""
+    near = exact_knn(q, r, k, "dot", per=per).withColumnsRenamed({"key": "sample_id", "neighbour": "reference_id"})
     return near.join(described, "reference_id", "left").fillna(UNKNOWN, ["species", "tissue"])
 
 
-def matches(near: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
+def similarities(
+    query: DataFrame, reference: DataFrame, metadata: DataFrame, settings: AtlasSettings = AtlasSettings(), per_sample: bool = False,
+    per_class: int | None = None,
+) -> DataFrame:
+    """Best references per sample and class, by correlation over the shared features.
+
+    ``reference`` holds (reference_id, feature, value) on a log scale; ``metadata``
+    (reference_id, species, tissue), where a missing row or field reads as unknown. Enough rows
+    are kept for every later step: the best ``candidates`` of each class contain the best
+    ``candidates`` overall. A caller whose steps need fewer names them by ``per_class``; :func:`matches` needs the
+    best ``top_k`` of each class. For ``per_sample`` see :func:`compared`.
+    """
+    sides = compared(query, reference, metadata, settings, per_sample)
+    return nearest(*sides, per_class or max(settings.candidates, settings.top_k)).drop("rank")
+
+
+def matches(near: DataFrame, settings: AtlasSettings = AtlasSettings(), class_rank: str | None = None) -> DataFrame:
     """Healthy references first, then tumour cohorts, by quota; ranks renumbered.
 
-    Where a sample has neither, its best references overall stand in and are named healthy.
+    Where a sample has neither, its best references overall stand in and are named healthy. ``class_rank``: a column that
+    already ranks a sample's references in their class.
     """
     quotas = {"healthy_tissue": settings.top_k, "tumor_cohort": min(settings.tumor_k, settings.top_k)}
-    return quota_top_k(near, "reference_type", quotas, settings.top_k, "healthy_tissue").withColumn("similarity", F.round("similarity", 6))
+    found = quota_top_k(near, "reference_type", quotas, settings.top_k, "healthy_tissue", class_rank)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 def nearest_unlabelled(near: DataFrame, settings: AtlasSettings = AtlasSettings()) -> DataFrame:
@@ -163,15 +188,21 @@ def atlas_match(
 
     With ``per_sample`` (see :func:`similarities`) samples of too little overlap are answered as such.
     """
-    near = materialize(similarities(query, reference, metadata, settings, per_sample), "near")
-    found = matches(near, settings)
-    tissue = F.coalesce("tissue", F.lit(UNKNOWN)).alias("best_tissue")
-    best = first_of_class(found, "reference_type", "healthy_tissue").join(metadata.select("reference_id", "tissue"), "reference_id", "left")
-    best = best.select("sample_id", F.col("reference_id").alias("best_reference"), tissue, F.col("similarity").alias("best_similarity"))
-    tumor = first_of_class(found, "reference_type", "tumor_cohort").select(
-        "sample_id", F.col("reference_id").alias("nearest_tumor"), F.col("similarity").alias("tumor_similarity"))
-    call = vote_call(near, "species", settings.candidates, settings.margin).select("sample_id", "call", "margin")
+    q, r, described = compared(query, reference, metadata, settings, per_sample)
+    near = materialize(nearest(q, r, described, settings.top_k), "near")
+    found = matches(near, settings, "rank")
+    firsts = {"_b": "healthy_tissue", "_t": "tumor_cohort"}
+    first = found.groupBy("sample_id").agg(*[
+        F.min_by(F.struct("reference_id", "similarity"), F.when(F.col("reference_type") == kind, F.col("rank"))).alias(c) for c, kind in firsts.items()])
+    tissue = F.coalesce("tissue", F.lit(UNKNOWN))
+    best = first.join(metadata.select("reference_id", "tissue"), F.col("_b.reference_id") == F.col("reference_id"), "left").select(
+        "sample_id", F.col("_b.reference_id").alias("best_reference"), F.when(F.col("_b").isNotNull(), tissue).alias("best_tissue"),
+        F.col("_b.similarity").alias("best_similarity"), F.col("_t.reference_id").alias("nearest_tumor"), F.col("_t.similarity").alias("tumor_similarity"))
+    # the best of all classes are a search of their own: a sample's few species leave the task, not its candidates
+    voters = nearest(q, r, described, settings.candidates, None)
+    call = vote_call(voters, "species", settings.candidates, settings.margin, rank="rank", samples=near.select("sample_id").distinct())
+    call = call.select("sample_id", "call", "margin")
     if per_sample:
         every = query.select("sample_id").distinct()
         call = every.join(call, "sample_id", "left").withColumn("call", F.coalesce("call", F.lit(INSUFFICIENT)))
-    return call.join(best, "sample_id", "left").join(tumor, "sample_id", "left")
+    return call.join(best, "sample_id", "left")

@@ -18,10 +18,10 @@ from exprlake.streaming import incremental as inc
 SETTINGS = at.AtlasSettings(minimum_shared=20, sparse_minimum=5)
 
 
-def references(spark, d):
+def references(spark, d, m=None):
     """One centroid per (nation, segment); some count as tumour cohorts, some are unlabelled or unknown."""
     meta = sample_meta(spark, d).withColumn("reference_id", F.concat_ws("/", "nation", "cohort"))
-    m = measurement(spark, d)
+    m = measurement(spark, d) if m is None else m
     have = meta.join(m.select("sample_id").distinct(), "sample_id", "left_semi")
     ref = group_centroids(m, have.select("reference_id", "sample_id"), "reference_id")
     g = F.col("group_id")
@@ -189,9 +189,10 @@ def str02(spark, d):
 @query("str03_match_arrivals", ARRIVALS)
 def str03(spark, d):
     """Every arriving sample is judged by itself, so the answer doesn't depend on the files that arrive together."""
-    ref, info = references(spark, d)
-    ref, info = materialize(ref, "atlas"), materialize(info, "atlas-info")
     path = shards(spark, d)
-    stream = inc.stream_shards(spark, path, spark.read.parquet(path).schema, 3)
+    arriving = spark.read.parquet(path)
+    ref, info = references(spark, d, arriving)
+    ref, info = materialize(ref, "atlas"), materialize(info, "atlas-info")
+    stream = inc.stream_shards(spark, path, arriving.schema, 3)
     out = inc.match_arrivals(stream, scratch_dir(spark, "matched"), scratch_dir(spark, "ckpt"), lambda b: at.atlas_match(b, ref, info, SETTINGS, per_sample=True))
     return rounded(out, "margin", "best_similarity", "tumor_similarity", digits=5)
