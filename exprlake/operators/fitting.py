@@ -263,8 +263,10 @@ class Batch:
                         h = (z * (w * p * (1 - p))[:, None]).T @ z
                         part = np.concatenate([[(w * (np.logaddexp(0, u) - t * u)).sum()], z.T @ (w * (p - t)), h.ravel()])
                         held[j] = held[j] + part if j in held else part
-            for some in np.array_split(list(held), max(1, len(held) // SENT)):
-                yield pd.DataFrame({"j": some.astype(np.int32), "sums": [held[j] for j in some]})
+            numbers = list(held)  # none in a task that has no rows to learn from, which sends nothing
+            for i in range(0, len(numbers), SENT):
+                some = numbers[i : i + SENT]
+                yield pd.DataFrame({"j": np.array(some, np.int32), "sums": [held[j] for j in some]})
 
         def solve(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
             w = coefs[key[0]]

@@ -105,6 +105,20 @@ def test_driver_sees_steps_and_no_curvatures(spark, monkeypatch):
         assert slope(g, x, y, fold != g.spec.exclude[0]) < 2e-5
 
 
+def test_tasks_without_rows_to_learn_from(spark, monkeypatch):
+    """More tasks than blocks, and a task that only has rows of a fold that every model leaves out."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 4))
+    y = (x[:, 0] + rng.normal(size=60) > 0).astype(float)
+    fold = np.array(["a", "b", "out"])[np.arange(60) // 20]
+    whole = fitting.packed
+    monkeypatch.setattr(fitting, "packed", lambda *a: (whole(*a)[0].repartition(6), True))
+    specs = [mo.Spec(f, 0, (f, "out"), (f,), 1.0) for f in "ab"]
+    rows = table(spark, x, y, fold).repartitionByRange(3, "fold")
+    for g in fitting.fit_many(rows, specs):
+        assert slope(g, x, y, (fold != g.spec.exclude[0]) & (fold != "out")) < 2e-5
+
+
 # bootstrap ----------------------------------------------------------------------------------
 def plain_auc(y, s, w):
     pos, cnt = (w * y).sum(), w.sum()
