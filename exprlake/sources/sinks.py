@@ -79,15 +79,18 @@ def append_pending(planned: DataFrame, path: str, keys: Sequence[str], compute)
     return spark.read.schema(sample.schema).parquet(path)
 
 
-#: Size up to which a file is read as one cell; a cell can't hold 2 GB.
+#: Size up to which a file is read as one cell where only Spark reaches it; a cell can't hold 2 GB.
 WHOLE_FILE = 1 << 30
+#: The same of files that every process of a machine can open; a task holds several copies of a cell.
+LOCAL_FILE = 16 << 20
 PIECE = 8 << 20
 
 
 def content_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, category, bytes, sha256) of every file below ``path``.
 
-    Spark's file source lists no empty files. Files above ``WHOLE_FILE`` go through the hash in pieces inside a task, so no size is too large and memory stays bounded.
+    Spark's file source lists no empty files. Files above ``LOCAL_FILE``, in a store that isn't a local folder above
+    ``WHOLE_FILE``, go through the hash in pieces inside a task, so no size is too large and memory stays bounded.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -100,8 +103,10 @@ def content_inventory(spark: SparkSession, path: str) -> DataFrame:
         .otherwise("other")
     )
     listed = ["path", category.alias("category"), F.col("length").alias("bytes")]
-    whole = files.filter(F.col("length") <= WHOLE_FILE).select(*listed, F.sha2("content", 256).alias("sha256"))
-    large = files.filter(F.col("length") > WHOLE_FILE).select(*listed)
+    first = files.select("path").first()
+    most = min(LOCAL_FILE, WHOLE_FILE) if first and first["path"].startswith("file:") else WHOLE_FILE
+    whole = files.filter(F.col("length") <= most).select(*listed, F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > most).select(*listed)
     return whole.unionByName(large.mapInPandas(_hash_in_pieces, "path string, category string, bytes bigint, sha256 string"))
 
 

@@ -63,6 +63,21 @@ def test_inventory_in_pieces(spark, monkeypatch):
     assert found() == want
 
 
+def test_local_files_are_no_large_cells(spark):
+    """Spark refuses cells above the limit; files up to 1 GB were once read as one."""
+    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    size, key = (20 << 20) + 3, "spark.sql.sources.binaryFile.maxLength"
+    for name in ("small.txt", "large.bin"):
+        with open(f"{base}/{name}", "wb") as f:
+            f.truncate(9 if name == "small.txt" else size)
+    spark.conf.set(key, sinks.PIECE * 2)
+    try:
+        got = {r["bytes"]: r["sha256"] for r in sinks.content_inventory(spark, base).collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got == {n: hashlib.sha256(bytes(n)).hexdigest() for n in (9, size)}
+
+
 def test_file_above_two_gigabytes(spark):
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     size = (2 << 30) + 5
